@@ -12,11 +12,12 @@ beginnings that occur nearly only in documents labelled toxic. Without labels th
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,35 +39,60 @@ VOTERS = (
 STEM = range(3, 9)
 
 
-def induced_stems(texts: list[str], toxic: list[int], least: int = 6, precision: float = 0.95, most: int = 400) -> list[str]:
-    """Shortest word beginnings found in at least `least` toxic documents and nearly no other ones.
+def stems_in(text: str | None) -> set[str]:
+    """Beginnings of STEM lengths of a text's distinct words."""
+    return {w[:n] for w in set(words_of(text)) for n in STEM if len(w) >= n}
 
-    A stem must gain documents over the stems chosen before, and beat chance clearly.
-    """
-    hit, miss, where = Counter(), Counter(), defaultdict(list)
-    for i, (text, bad) in enumerate(zip(texts, toxic, strict=True)):
-        found = {w[:n] for w in set(words_of(text)) for n in STEM if len(w) > n or n == len(w)}
-        if bad:
-            hit.update(found)
-            for s in found:
-                where[s].append(i)
-        else:
-            miss.update(found)
-    good = [s for s, n in hit.items() if n >= least and n >= precision * (n + miss[s]) and not s.isdigit()]
-    good.sort(key=lambda s: (-hit[s], miss[s], len(s), s))
+
+def good_stems(counts: Iterable[tuple[str, int, int]], least: int, precision: float) -> list[str]:
+    """Of (stem, toxic documents, other documents), those with enough of the former and nearly none of the latter, best first."""
+    good = [(-hit, miss, len(s), s) for s, hit, miss in counts if hit >= least and hit >= precision * (hit + miss) and not s.isdigit()]
+    return [x[-1] for x in sorted(good)]
+
+
+def chosen_stems(good: list[str], found: list[list[int]], least: int, most: int) -> list[str]:
+    """A stem must gain documents over the stems chosen before; found[i]: the toxic documents of good[i]."""
     chosen: list[str] = []
     covered: Counter = Counter()
-    for s in good:
+    for s, where in zip(good, found, strict=True):
         if len(chosen) >= most:
             break
         if any(s.startswith(c) for c in chosen):
             continue
-        if sum(covered[i] < 3 for i in where[s]) >= max(3, least // 2):
+        if sum(covered[i] < 3 for i in where) >= max(3, least // 2):
             chosen.append(s)
-            covered.update(where[s])
+            covered.update(where)
     return chosen
 
 
+def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hit, miss = Counter(), Counter()
+        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            (hit if y else miss).update(stems_in(text))
+        stems = [*hit, *(s for s in miss if s not in hit)]
+        yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array([hit[s] for s in stems], pa.int64()), pa.array([miss[s] for s in stems], pa.int64())], ["stem", "hit", "miss"])
+
+
+def induced_stems(rows: DataFrame, least: int = 6, precision: float = 0.95, most: int = 400) -> list[str]:
+    """Shortest word beginnings found in at least `least` toxic documents and nearly no other ones; rows: (text, y)."""
+    counts = rows.mapInArrow(_stem_counts, "stem string, hit long, miss long").groupBy("stem").agg(F.sum("hit").alias("hit"), F.sum("miss").alias("miss"))
+    kept = counts.where((F.col("hit") >= least) & (F.col("hit") >= precision * (F.col("hit") + F.col("miss"))))
+    good = good_stems(((r.stem, r.hit, r.miss) for r in kept.toLocalIterator()), least, precision)
+    place = {s: i for i, s in enumerate(good)}
+
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([sorted(place[x] for x in stems_in(t) if x in place) for t in s])
+
+    found: list[list[int]] = [[] for _ in good]
+    bad = rows.where("y = 1").orderBy("doc_id").select(F.pandas_udf(holds, "array<int>")("text").alias("at"))
+    for i, row in enumerate(bad.toLocalIterator()):
+        for j in row.at:
+            found[j].append(i)
+    return chosen_stems(good, found, least, most)
+
+
 class Voters:
     """Votes of one document as a bit mask; bit j is VOTERS[j]."""
 
@@ -147,6 +173,16 @@ def word_ids(word: str) -> tuple[int, ...]:
     return tuple(xxhash.xxh32_intdigest(s.encode("utf-8", "surrogatepass")) >> (32 - BITS) for s in ([word] if len(word) <= 5 else [word, word[:5] + "+"]))
 
 
+def features(text: str | None) -> np.ndarray:
+    """Buckets of a text's distinct words, one entry for each word that falls there."""
+    return np.array([i for w in set(words_of(text)) for i in word_ids(w)], np.int32)
+
+
+def flat_rows(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, row) of all entries."""
+    return np.concatenate([*rows, np.empty(0, np.int32)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+
+
 class Weights(dict):
     """A word's weight, worked out once while it stays in the store."""
 
@@ -167,19 +203,20 @@ class Linear:
     def __init__(self, w: np.ndarray | None = None, b: float = -4.0):
         self.w, self.b = (np.zeros(1 << BITS, np.float32) if w is None else w), b
 
-    def fit(self, texts: list[str], p: np.ndarray, rounds: int = 400, l2: float = 1e-5, least_z: float = 6.0) -> Linear:
-        """Features whose association with the posterior is below least_z standard errors keep weight 0."""
-        rows = [[i for w in set(words_of(t)) for i in word_ids(w)] for t in texts]
-        sizes = np.array([len(r) for r in rows], np.int64)
-        if not sizes.sum():
+    def fit(self, rows: list[np.ndarray], p: np.ndarray, rounds: int = 400, l2: float = 1e-5, least_z: float = 6.0) -> Linear:
+        """rows: features() of each text. Features whose association with p is below least_z standard errors keep weight 0."""
+        n, a = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for i in range(0, len(rows), 500):
+            idx, doc = flat_rows(rows[i : i + 500])
+            n += np.bincount(idx, minlength=1 << BITS)
+            a += np.bincount(idx, p[i + doc], 1 << BITS)
+        if not n.any():
             return self
-        idx, doc = np.fromiter((i for r in rows for i in r), np.int64, sizes.sum()), np.repeat(np.arange(len(rows)), sizes)
         m = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
-        n, a = np.bincount(idx, minlength=1 << BITS), np.bincount(idx, p[doc], 1 << BITS)
         z = (a - n * m) / np.sqrt(np.maximum(n, 1) * m * (1 - m))
-        keep = ((np.abs(z) >= least_z) & (n >= 4))[idx]
-        used, idx = np.unique(idx[keep], return_inverse=True)
-        doc = doc[keep]
+        keep = (np.abs(z) >= least_z) & (n >= 4)
+        idx, doc = flat_rows([r[keep[r]] for r in rows])
+        used, idx = np.unique(idx, return_inverse=True)
         w, b = np.zeros(len(used) + 1), self.b
         first, second = np.zeros(len(w)), np.zeros(len(w))
         w[-1] = b
@@ -202,19 +239,26 @@ def _smallest(docs: DataFrame, n: int) -> DataFrame:
     return docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, n: int) -> pd.DataFrame:
-    """(text, label) of at most n labelled documents, those whose doc_id hashes lowest; label is 0 or 1."""
+def labelled(docs: DataFrame, labels: DataFrame, column: str, n: int) -> DataFrame:
+    """(doc_id, text, y) of at most n labelled documents, those whose doc_id hashes lowest; y is 0 or 1."""
     rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     rows = _smallest(rows.groupBy("doc_id").agg(F.max("y").alias("y")), n)
-    return id_text(docs).where("text is not null").join(F.broadcast(rows), "doc_id").orderBy("doc_id").select("text", "y").toPandas()
+    return id_text(docs).where("text is not null").join(F.broadcast(rows), "doc_id")
+
+
+def _training(voters: Voters):
+    """(mask, entries) of each text: its votes and its features; only these reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([voters.mask(t) for t in texts], pa.int32()), pa.array([features(t).tobytes() for t in texts], pa.binary())], ["doc_id", "mask", "entries"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame | None, words: tuple[str, ...] = SEED_WORDS) -> tuple[Voters, LabelModel, Linear]:
-    stems: list[str] = []
-    if labels is not None:
-        got = labelled(docs, labels, "toxic", LABELLED_ROWS)
-        stems = induced_stems(got.text.tolist(), got.y.tolist())
-    voters = Voters(words, stems)
+    voters = Voters(words, [] if labels is None else induced_stems(labelled(docs, labels, "toxic", LABELLED_ROWS)))
     texts = id_text(docs)
 
     def masks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -226,10 +270,10 @@ def train(docs: DataFrame, labels: DataFrame | None, words: tuple[str, ...] = SE
     patterns = texts.select(vote("text").alias("m")).groupBy("m").count().toPandas()
     model = LabelModel().fit(patterns.m.to_numpy(np.int64), patterns["count"].to_numpy(float))
     sample = _smallest(texts.where("text is not null").select("doc_id"), TRAINING_ROWS)
-    sample = texts.join(F.broadcast(sample.distinct()), "doc_id", "left_semi").orderBy("doc_id").select("text").toPandas().text.tolist()
-    bits = np.array([voters.mask(t) for t in sample], np.int64)
-    votes = ((bits[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
-    return voters, model, Linear().fit(sample, model.posterior(votes) if len(sample) else np.empty(0))
+    sample = texts.where("text is not null").join(F.broadcast(sample.distinct()), "doc_id", "left_semi")
+    got = sample.mapInArrow(_training(voters), "doc_id long, mask int, entries binary").orderBy("doc_id").select("mask", "entries").toPandas()
+    votes = ((got["mask"].to_numpy(np.int64)[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
+    return voters, model, Linear().fit([np.frombuffer(e, np.int32) for e in got.entries], model.posterior(votes) if len(votes) else np.empty(0))
 
 
 def scorer(linear: Linear):
