@@ -14,6 +14,7 @@ the weight rows of the features present.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -60,12 +61,12 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
 
 
 def positions(texts: list[str | None], places: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(targets, context hashes of shape (n, FEATURES), words of each text); contexts don't cross texts."""
+    """(targets, context hashes of shape (FEATURES, n), words of each text); contexts don't cross texts."""
     parts = [list(map(places.__getitem__, WORD.findall(t.lower()))) if t else [] for t in texts]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    w = np.fromiter((x for p in parts for x in p), np.uint64, sizes.sum())
+    w = np.fromiter(itertools.chain.from_iterable(parts), np.uint64, sizes.sum())
     n = len(w)
-    context = np.zeros((n, FEATURES), np.uint64)
+    context = np.zeros((FEATURES, n), np.uint64)
     if n:
         with np.errstate(over="ignore"):
             word = w >> np.uint64(9)
@@ -75,12 +76,33 @@ def positions(texts: list[str | None], places: Places) -> tuple[np.ndarray, np.n
             last[starts] = before[starts] = 1
             second = starts[starts + 1 < np.append(starts[1:], n)] + 1
             before[second] = 2
-            context[:, 0] = _mix(last, 3)
-            context[:, 1] = _mix(last * np.uint64(0x9E3779B97F4A7C15) + before, 5)
-            context[:, 2] = _mix(before, 7)
+            context[0] = _mix(last, 3)
+            context[1] = _mix(last * np.uint64(0x9E3779B97F4A7C15) + before, 5)
+            context[2] = _mix(before, 7)
     return (w & np.uint64(511)).astype(np.int64), context, sizes
 
 
+def row_max(z: np.ndarray) -> np.ndarray:
+    """z.max(1) of a width that is a power of two, by halving: each step runs over long rows."""
+    while z.shape[1] > 1:
+        half = z.shape[1] // 2
+        z = np.maximum(z[:, :half], z[:, half:])
+    return z[:, 0]
+
+
+def row_sums(rows: np.ndarray, g: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows used, how often, sum of g over the positions that use each); rows: (features, n), g: (n, width)."""
+    flat = rows.ravel()
+    n = np.bincount(flat, minlength=size)
+    used = np.flatnonzero(n)
+    total = np.empty((g.shape[1], len(used)))
+    weights = np.empty(rows.shape)
+    for column, out in zip(g.T, total, strict=True):
+        weights[:] = column
+        np.take(np.bincount(flat, weights.ravel(), size), used, out=out, mode="clip")
+    return used, n[used].astype(np.float32), np.ascontiguousarray(total.T, dtype=np.float32)
+
+
 class Model:
     """Weights of both factors; row 0 of either table is the bias (for words, rows 0 to CLASSES - 1)."""
 
@@ -89,31 +111,31 @@ class Model:
 
     @staticmethod
     def rows(target: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weight rows (n, FEATURES + 1) of the class factor and of the word factor, the latter given the class."""
+        """Weight rows (FEATURES + 1, n) of the class factor and of the word factor, the latter given the class."""
         n = len(target)
-        c = np.zeros((n, FEATURES + 1), np.int64)
-        w = np.empty((n, FEATURES + 1), np.int64)
-        c[:, 1:] = 1 + context % np.uint64(CLASS_ROWS - 1)
-        w[:, 0] = target // WIDTH
+        c = np.zeros((FEATURES + 1, n), np.int64)
+        w = np.empty((FEATURES + 1, n), np.int64)
+        c[1:] = 1 + context % np.uint64(CLASS_ROWS - 1)
+        w[0] = target // WIDTH
         with np.errstate(over="ignore"):
-            given = context * np.uint64(0x9E3779B97F4A7C15) + (target // WIDTH + 1).astype(np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93)
-        w[:, 1:] = CLASSES + (given >> np.uint64(20)) % np.uint64(WORD_ROWS - CLASSES)
+            given = context * np.uint64(0x9E3779B97F4A7C15) + (target // WIDTH + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        w[1:] = CLASSES + (given >> np.uint64(20)) % np.uint64(WORD_ROWS - CLASSES)
         return c, w
 
     @staticmethod
     def softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        z = table[rows[:, 0]]
-        for j in range(1, rows.shape[1]):
-            z += table[rows[:, j]]
-        z -= z.max(1, keepdims=True)
+        z = table.take(rows[0], 0)
+        for r in rows[1:]:
+            z += table.take(r, 0)
+        z -= row_max(z)[:, None]
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
         return z
 
     def log_probability(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
         out = np.empty(len(target))
         for a in range(0, len(target), STEP):
-            t, x = target[a : a + STEP], context[a : a + STEP]
+            t, x = target[a : a + STEP], context[:, a : a + STEP]
             i = np.arange(len(t))
             pair = zip(self.tables, self.rows(t, x), (t // WIDTH, t % WIDTH), strict=True)
             out[a : a + STEP] = sum(np.log(self.softmax(table, rows)[i, y].astype(float)) for table, rows, y in pair)
@@ -131,18 +153,14 @@ class Trainer:
 
     def update(self, target: np.ndarray, context: np.ndarray) -> None:
         for a in range(0, len(target), STEP):
-            t, x = target[a : a + STEP], context[a : a + STEP]
+            t, x = target[a : a + STEP], context[:, a : a + STEP]
             i = np.arange(len(t))
             for f, (table, rows, y) in enumerate(zip(self.model.tables, self.model.rows(t, x), (t // WIDTH, t % WIDTH), strict=True)):
                 g = self.model.softmax(table, rows)
                 g[i, y] -= 1
-                flat = rows.ravel()
-                order = np.argsort(flat, kind="stable")
-                sorted_rows = flat[order]
-                first = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
-                used, n = sorted_rows[first], np.diff(np.append(first, len(flat))).astype(np.float32)
+                used, n, total = row_sums(rows, g, len(table))
                 # Mean gradient of a row: its size doesn't grow with how often the row occurs in a step.
-                total = np.add.reduceat(g[order // rows.shape[1]], first) / n[:, None]
+                total /= n[:, None]
                 self.squares[f][used] += (total * total).mean(1)
                 table[used] -= RATE * total / np.sqrt(self.squares[f][used])[:, None]
                 self.touched[f][used] += n
