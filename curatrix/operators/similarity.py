@@ -51,9 +51,14 @@ def _grid(left: DataFrame, right: DataFrame | None, cell: Callable, schema: str)
         b = right.join(size(left, "n"), "part").select(*cols, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.col("block").alias("j"), F.lit(True).alias("second"))
         cells = a.unionByName(b)
 
+    names, alone = [c.split()[0] for c in schema.split(", ")], right is None
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(pdf.itertuples(index=False), key=lambda r: r.second)
-        return cell(rows[0], rows[-1], len(rows) == 1)
+        same = alone and rows[0].i == rows[0].j
+        if not same and len(rows) < 2:  # no row was hashed to the other block
+            return pd.DataFrame(columns=names)
+        return cell(rows[0], rows[-1], same)
 
     return cells.groupBy("part", "i", "j").applyInPandas(run, schema)
 

@@ -92,14 +92,15 @@ def read_entities(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
     """Nodes of a knowledge graph in JSON, {"nodes": [...]} or a bare list."""
     node = "struct<id:string,title:string,description:string,level:int,obscurity:int,prerequisites:array<string>>"
-    text = spark.read.option("wholetext", "true").text(path)
-    nodes = F.coalesce(F.from_json("value", f"struct<nodes:array<{node}>>")["nodes"], F.from_json("value", f"array<{node}>"))
-    return text.select(F.explode(nodes).alias("n")).select("n.*")
+    text = spark.read.text(path, wholetext=True)
+    bare = F.trim(F.translate("value", "\n\r\t", "   ")).startswith("[")
+    whole = F.when(bare, F.concat(F.lit('{"nodes":'), F.col("value"), F.lit("}"))).otherwise(F.col("value"))
+    return text.select(F.from_json(whole, f"struct<nodes:array<{node}>>").alias("g")).select(F.explode("g.nodes").alias("n")).select("n.*")
 
 
 def read_old_state(spark: SparkSession, path: str) -> DataFrame:
     """(item_id, status, cost) of a JSON batch state that maps ids to items, under "items" or "productions"."""
     item = "map<string,struct<status:string,cost:double>>"
     parsed = F.from_json("value", f"struct<items:{item},productions:{item}>")
-    rows = spark.read.option("wholetext", "true").text(path).select(F.explode(F.coalesce(parsed["items"], parsed["productions"])).alias("item_id", "i"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.coalesce(parsed["items"], parsed["productions"])).alias("item_id", "i"))
     return rows.select("item_id", F.coalesce("i.status", F.lit("pending")).alias("status"), F.coalesce("i.cost", F.lit(0.0)).alias("cost"))
