@@ -99,21 +99,32 @@ def without_cycles(nodes: list[dict]) -> list[dict]:
     return out
 
 
+@dataclass(frozen=True)
+class Network:
+    """ready: chance to know a node whose prerequisites are known; anyway: otherwise; cut: belief from which an answer counts as knowing."""
+
+    ready: float = KNOWS_IF_READY
+    anyway: float = KNOWS_ANYWAY
+    cut: float = CUT
+
+
 @dataclass
 class Beliefs:
     p: dict[str, float]
     assessed: set[str] = field(default_factory=set)
     history: list[dict] = field(default_factory=list)
     bayesian: bool = False
+    network: Network = Network()
 
 
-def start(graph: Graph, prior: Callable[[dict], float] | None = None, bayesian: bool = False) -> Beliefs:
-    return Beliefs({i: prior(n) if prior else graph.prior(i) for i, n in graph.nodes.items()}, bayesian=bayesian)
+def start(graph: Graph, prior: Callable[[dict], float] | None = None, bayesian: bool = False, network: Network = Network()) -> Beliefs:
+    return Beliefs({i: prior(n) if prior else graph.prior(i) for i, n in graph.nodes.items()}, bayesian=bayesian, network=network)
 
 
 def bayesian_sweep(graph: Graph, b: Beliefs) -> None:
     """One pass down and one up over a noisy-and network; assessed nodes are evidence and stay as they are."""
-    evidence = {i: b.p[i] >= CUT for i in b.assessed if i in b.p}
+    net = b.network
+    evidence = {i: b.p[i] >= net.cut for i in b.assessed if i in b.p}
     if not evidence:
         return
     order = graph.order()
@@ -128,7 +139,7 @@ def bayesian_sweep(graph: Graph, b: Beliefs) -> None:
             ready = 1.0
             for q in needs:
                 ready *= pi.get(q, UNKNOWN)
-            pi[i] = KNOWS_IF_READY * ready + KNOWS_ANYWAY * (1 - ready)
+            pi[i] = net.ready * ready + net.anyway * (1 - ready)
     yes, no = dict.fromkeys(order, 1.0), dict.fromkeys(order, 1.0)
     for i in reversed(order):
         needs = graph.before.get(i, [])
@@ -141,10 +152,10 @@ def bayesian_sweep(graph: Graph, b: Beliefs) -> None:
             for r in needs:
                 if r != q:
                     others *= float(evidence[r]) if r in evidence else pi.get(r, UNKNOWN)
-            ready = KNOWS_IF_READY * others + KNOWS_ANYWAY * (1 - others)
+            ready = net.ready * others + net.anyway * (1 - others)
             if q in yes:
                 yes[q] *= ready * l1 + (1 - ready) * l0
-                no[q] *= KNOWS_ANYWAY * l1 + (1 - KNOWS_ANYWAY) * l0
+                no[q] *= net.anyway * l1 + (1 - net.anyway) * l0
     for i in order:
         if i in b.assessed:
             continue
@@ -267,7 +278,7 @@ def next_probe(graph: Graph, b: Beliefs, strategy: str = "eig", simulate_with_st
             p, gain, weight = b.p.get(i, UNKNOWN), 0.0, 0.0
             for level, value in FAMILIARITY.items():
                 w = 1 - abs(p - value)
-                trial = Beliefs(dict(b.p), set(b.assessed), [], b.bayesian and simulate_with_state)
+                trial = Beliefs(dict(b.p), set(b.assessed), [], b.bayesian and simulate_with_state, b.network)
                 gain += w * (now - total_entropy(answer(graph, trial, i, level)))
                 weight += w
             gain = gain / weight if weight else 0.0
@@ -358,6 +369,24 @@ def probing_trials(graph: Graph, trials: DataFrame, questions: int, overclaim: f
     return trials.groupBy("trial", "strategy").applyInPandas(run, "trial bigint, strategy string, asked int, accuracy double, entropy double")
 
 
+def network_sweep(graph: Graph, answers: DataFrame, truth: DataFrame, grid: list[Network]) -> DataFrame:
+    """(ready, anyway, cut, accuracy) of every network of a grid, best first: share of truth(session_id, node, known) that the beliefs after answers(session_id, seq, node, familiarity) get right at 0.5."""
+    rows = answers.sparkSession.createDataFrame([(n.ready, n.anyway, n.cut) for n in grid], "ready double, anyway double, cut double")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (session, ready, anyway, cut), part in pdf.groupby(["session_id", "ready", "anyway", "cut"]):
+            b = start(graph, bayesian=True, network=Network(ready, anyway, cut))
+            for row in part.sort_values("seq", kind="stable").itertuples():
+                answer(graph, b, row.node, row.familiarity)
+            out += [(session, ready, anyway, cut, i, p) for i, p in b.p.items()]
+        return pd.DataFrame(out, columns=["session_id", "ready", "anyway", "cut", "node", "p"])
+
+    beliefs = answers.crossJoin(F.broadcast(rows)).groupBy("session_id").applyInPandas(run, "session_id bigint, ready double, anyway double, cut double, node string, p double")  # the grid is given row by row
+    right = ((F.col("p") >= 0.5) == F.col("known")).cast("int")
+    return beliefs.join(truth, ["session_id", "node"]).groupBy("ready", "anyway", "cut").agg(F.avg(right).alias("accuracy")).orderBy(F.desc("accuracy"), "ready", "anyway", "cut")
+
+
 def chain(n: int) -> list[dict]:
     return [{"id": f"n{i}", "title": f"n{i}", "level": i + 1, "obscurity": 1 + i % 5, "prerequisites": [f"n{i - 1}"] if i else []} for i in range(n)]
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.functions.vectors import dot
+
 
 @dataclass
 class Whitening:
@@ -79,6 +81,24 @@ def fit(df: DataFrame, vec: str = "vec", dim: int | None = None, epsilon: float
     return Whitening(mean, w)
 
 
+def subspace(df: DataFrame, low: int, high: int, vec: str = "vec") -> Whitening:
+    """Projection on the principal components low (from 0) to high, the last not included; unscaled."""
+    _, mean, cov = moments(df, vec)
+    return Whitening(mean, np.linalg.eigh(cov)[1][:, ::-1][:, low:high])
+
+
+def extremes(df: DataFrame, component: int, n: int = 5, vec: str = "vec") -> DataFrame:
+    """(id, projection, side): the n rows that lie furthest out on either side of a component; its sign makes the largest loading positive."""
+    _, mean, cov = moments(df, vec)
+    axis = np.linalg.eigh(cov)[1][:, ::-1][:, component]
+    axis = axis * np.sign(axis[np.abs(axis).argmax()])
+    to = F.array(*[F.lit(float(a)) for a in axis])
+    shift = float(mean @ axis)
+    rows = df.where(F.col(vec).isNotNull()).select("id", (dot(F.col(vec), to) - shift).alias("projection"))
+    high = rows.orderBy(F.desc("projection"), "id").limit(n).withColumn("side", F.lit("high"))
+    return high.unionByName(rows.orderBy("projection", "id").limit(n).withColumn("side", F.lit("low")))
+
+
 def spectrum(df: DataFrame, vec: str = "vec") -> DataFrame:
     """(component, variance, share, cumulative, effective_rank): the explained variances, largest first."""
     _, _, cov = moments(df, vec)
