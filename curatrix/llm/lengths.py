@@ -13,24 +13,33 @@ _SPACE = np.zeros(256, np.bool_)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+#: Bytes of text that are looked at in one numpy pass; the arrays made for them stay small.
+RUN = 4 << 20
+
+
 def word_counts(texts: pa.Array) -> np.ndarray:
     """Runs of bytes other than ASCII white space in each text; 0 for null and empty texts."""
     n = len(texts)
-    if n == 0:
-        return np.empty(0, np.int64)
+    out = np.zeros(n, np.int64)
     texts = texts.cast(pa.large_string())
     _, offsets, data = texts.buffers()
+    if n == 0 or data is None:
+        return out
     at = np.frombuffer(offsets, np.int64, n + 1, texts.offset * 8)
-    if data is None or at[-1] == at[0]:
-        return np.zeros(n, np.int64)
-    space = _SPACE[np.frombuffer(data, np.uint8)[at[0] : at[-1]]]
-    starts = ~space
-    starts[1:] &= space[:-1]
-    at = at - at[0]
-    first = at[:-1][at[:-1] < at[1:]]
-    starts[first] = ~space[first]
-    total = np.concatenate([[0], np.cumsum(starts)])
-    return total[at[1:]] - total[at[:-1]]
+    data = np.frombuffer(data, np.uint8)
+    low = 0
+    while low < n:
+        # As many texts as fit a run, one at least.
+        high = max(low + 1, int(np.searchsorted(at, at[low] + RUN, "right")) - 1)
+        edges = at[low : high + 1] - at[low]
+        space = _SPACE[data[at[low] : at[high]]]
+        starts = ~space
+        starts[1:] &= space[:-1]
+        first = edges[:-1][edges[:-1] < edges[1:]]
+        starts[first] = ~space[first]
+        out[low:high] = np.diff(np.searchsorted(np.flatnonzero(starts), edges))
+        low = high
+    return out
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
