@@ -14,18 +14,16 @@ the weight rows of the features present.
 
 from __future__ import annotations
 
-import itertools
-from collections import Counter
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import MEMO, WORD, id_text
+from curatrix.llm.common import id_text
 
 CLASSES, WIDTH = 16, 32
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
@@ -35,22 +33,56 @@ ROUNDS, RATE, STEP = 2, 0.3, 8_192
 BLOCK = 1_024
 
 
-class Places(dict):
-    """A word's 64-bit hash with its place (class * WIDTH + position) in the lowest 9 bits."""
+@functools.cache
+def _word_chars() -> np.ndarray:
+    r"""Whether each code point belongs to a word, as \w has it."""
+    return np.fromiter((c.isalnum() or c == "_" for c in map(chr, range(0x110000))), np.bool_, 0x110000)
 
-    def __init__(self, frequent: list[str]):
-        super().__init__()
-        self.place = {w: i for i, w in enumerate(frequent)}
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        place = self.place.get(word)
-        if place is None:
-            place = (CLASSES - 1) * WIDTH + (h >> 40) % WIDTH
-        value = self[word] = h & ~511 | place
-        return value
+@functools.cache
+def _powers(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.full(n, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each lower-case word of all texts in turn, words of each text); null texts have none.
+
+    The hash is a polynomial in the word's code points, summed for all words in one numpy pass.
+    """
+    low = [t.lower() if t else "" for t in texts]
+    ends = np.cumsum([len(t) + 1 for t in low])
+    code = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = _word_chars()[code]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edge = np.append(0, edge)  # every text ends with a separator, so edges come in pairs
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    words = np.diff(np.searchsorted(start, ends), prepend=0)
+    if not len(start):
+        return np.empty(0, np.uint64), words
+    first = np.cumsum(size) - size
+    with np.errstate(over="ignore"):
+        power = _powers(1 << int(size.max()).bit_length())
+        chars = code[inside].astype(np.uint64)
+        chars *= power[np.arange(len(chars)) - np.repeat(first, size)]
+        return _mix(np.add.reduceat(chars, first), 1), words
+
+
+class Places:
+    """The place (class * WIDTH + position) of hashed words: their own for frequent ones, shared by hash in the last class for others."""
+
+    def __init__(self, frequent: list[int]):
+        hashes = np.array(frequent, np.int64).view(np.uint64)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        other = (CLASSES - 1) * WIDTH + ((h >> np.uint64(40)) % np.uint64(WIDTH)).astype(np.int64)
+        if not len(self.hashes):
+            return other
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.order[at], other)
 
 
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
@@ -62,14 +94,11 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
 
 def positions(texts: list[str | None], places: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(targets, context hashes of shape (FEATURES, n), words of each text); contexts don't cross texts."""
-    parts = [list(map(places.__getitem__, WORD.findall(t.lower()))) if t else [] for t in texts]
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    w = np.fromiter(itertools.chain.from_iterable(parts), np.uint64, sizes.sum())
-    n = len(w)
+    word, sizes = hashed_words(texts)
+    n = len(word)
     context = np.zeros((FEATURES, n), np.uint64)
     if n:
         with np.errstate(over="ignore"):
-            word = w >> np.uint64(9)
             starts = (np.cumsum(sizes) - sizes)[sizes > 0]
             last, before = np.empty_like(word), np.empty_like(word)
             last[1:], before[2:] = word[:-1], word[:-2]
@@ -79,7 +108,7 @@ def positions(texts: list[str | None], places: Places) -> tuple[np.ndarray, np.n
             context[0] = _mix(last, 3)
             context[1] = _mix(last * np.uint64(0x9E3779B97F4A7C15) + before, 5)
             context[2] = _mix(before, 7)
-    return (w & np.uint64(511)).astype(np.int64), context, sizes
+    return places.of(word), context, sizes
 
 
 def row_max(z: np.ndarray) -> np.ndarray:
@@ -174,21 +203,34 @@ class Trainer:
                     yield f, b // BLOCK, part.tobytes(), ((new[b : b + BLOCK] - old[b : b + BLOCK]) * part[:, None]).tobytes()
 
 
+def chunks(texts: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
+    """(start, texts) of runs of about that many characters; a longer text is a run of its own."""
+    part, start, total = [], 0, 0
+    for i, t in enumerate(texts.to_pylist()):
+        part.append(t)
+        total += len(t) if t else 0
+        if total >= chars:
+            yield start, part
+            part, start, total = [], i + 1, 0
+    if part:
+        yield start, part
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word hash, n) of each batch."""
     for batch in batches:
-        seen: Counter = Counter()
-        for t in batch.column(0).to_pylist():
-            if t:
-                seen.update(WORD.findall(t.lower()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
+        seen = [hashed_words(part)[0] for _, part in chunks(batch.column(0))]
+        if seen:
+            w, n = np.unique(np.concatenate(seen), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["w", "n"])
 
 
-def _train(model, frequent: list[str]):
+def _train(model, frequent: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, trainer = Places(frequent), Trainer(Model(*model.value))
         for batch in batches:
-            for a in range(0, batch.num_rows, 1_000):
-                target, context, _ = positions(batch.column(0).slice(a, 1_000).to_pylist(), places)
+            for _, part in chunks(batch.column(0)):
+                target, context, _ = positions(part, places)
                 trainer.update(target, context)
         for f, b, n, change in trainer.change():
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((f, pa.int32()), (b, pa.int32()), (n, pa.binary()), (change, pa.binary()))], ["f", "b", "n", "change"])
@@ -203,29 +245,28 @@ def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"f": pdf.f.iloc[:1], "b": pdf.b.iloc[:1], "mean": [mean.tobytes()]})
 
 
-def _score(model, frequent: list[str]):
+def _score(model, frequent: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, final = Places(frequent), Model(*model.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1_000):
-                part = batch.slice(a, 1_000)
-                target, context, sizes = positions(part.column(1).to_pylist(), places)
+            for start, part in chunks(batch.column(1)):
+                target, context, sizes = positions(part, places)
                 total = np.concatenate([[0.0], np.cumsum(final.log_probability(target, context))])
                 ends = np.cumsum(sizes)
                 log_p = total[ends] - total[ends - sizes]
                 bits = np.divide(-log_p, sizes * np.log(2), out=np.zeros(len(sizes)), where=sizes > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(np.round(log_p, 6)), pa.array(np.round(bits, 6), mask=sizes == 0)], ["doc_id", "n_words", "log_p", "bits_per_word"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(sizes), pa.array(np.round(log_p, 6)), pa.array(np.round(bits, 6), mask=sizes == 0)], ["doc_id", "n_words", "log_p", "bits_per_word"])
 
     return run
 
 
-def frequent_words(texts: DataFrame) -> list[str]:
-    """The most frequent words of all documents, as many as have places; equal counts by word."""
-    counts = texts.select("text").mapInArrow(_count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+def frequent_words(texts: DataFrame) -> list[int]:
+    """Hashes of the most frequent words of all documents, as many as have places; equal counts by hash."""
+    counts = texts.select("text").mapInArrow(_count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     return [r.w for r in counts.orderBy(F.desc("n"), "w").limit((CLASSES - 1) * WIDTH).collect()]
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, list[str]]:
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, list[int]]:
     texts = id_text(docs)
     context = docs.sparkSession.sparkContext
     frequent = frequent_words(texts)
