@@ -18,8 +18,8 @@ BLOCK = 2_048
 _NONE = "\x00none"
 
 
-def _packed(df: DataFrame, rows: int, id_type: str) -> DataFrame:
-    """(part, block, cuts, ids, groups, m): one row for each block; df has id, vec, part, grp."""
+def _packed(df: DataFrame, rows: int, id_type: str) -> tuple[DataFrame, DataFrame]:
+    """((part, block, cuts, ids, groups, m): one row for each block, (part, cuts)); df has id, vec, part, grp."""
     cuts = df.groupBy("part").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("cuts"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -27,7 +27,7 @@ def _packed(df: DataFrame, rows: int, id_type: str) -> DataFrame:
         return pd.DataFrame({"part": pdf.part.iloc[:1], "block": pdf.block.iloc[:1], "cuts": pdf.cuts.iloc[:1], "ids": [pdf.id.to_list()], "groups": [pdf.grp.to_list()], "m": [m.tobytes()]})
 
     placed = df.join(cuts, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
-    return placed.groupBy("part", "block").applyInPandas(pack, f"part string, block int, cuts int, ids array<{id_type}>, groups array<string>, m binary")
+    return placed.groupBy("part", "block").applyInPandas(pack, f"part string, block int, cuts int, ids array<{id_type}>, groups array<string>, m binary"), cuts
 
 
 def _prepared(df: DataFrame, id: str, group: str | None, within: bool) -> DataFrame:
@@ -39,16 +39,15 @@ def _matrix(row) -> np.ndarray:
     return np.frombuffer(row.m, np.float64).reshape(len(row.ids), -1)
 
 
-def _grid(left: DataFrame, right: DataFrame | None, cell: Callable, schema: str) -> DataFrame:
+def _grid(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame] | None, cell: Callable, schema: str) -> DataFrame:
     """cell(a, b, same) for every pair of blocks of one part; right=None joins left with itself, each pair of blocks once."""
     cols = ["part", "ids", "groups", "m"]
     if right is None:
-        other = left.select(*cols, "block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+        other = left[0].select(*cols, "block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
         cells = other.select(*cols, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"))
     else:
-        size = lambda df, name: df.select("part", F.col("cuts").alias(name)).distinct()
-        a = left.join(size(right, "n"), "part").select(*cols, F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"), F.lit(False).alias("second"))
-        b = right.join(size(left, "n"), "part").select(*cols, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.col("block").alias("j"), F.lit(True).alias("second"))
+        a = left[0].join(right[1].withColumnRenamed("cuts", "n"), "part").select(*cols, F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"), F.lit(False).alias("second"))
+        b = right[0].join(left[1].withColumnRenamed("cuts", "n"), "part").select(*cols, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.col("block").alias("j"), F.lit(True).alias("second"))
         cells = a.unionByName(b)
 
     names, alone = [c.split()[0] for c in schema.split(", ")], right is None

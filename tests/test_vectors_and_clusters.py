@@ -99,6 +99,11 @@ def test_graph_operators(spark):
     assert got[2] == 10.0 and got[3] == 6.0 and got[1] == got[8] == 0.0
     labels = {x.node: x.label for x in graphs.label_propagation(edges, nodes).collect()}
     assert len(labels) == 8 and labels[8] == 8 and {labels[6], labels[7]} <= {6, 7}
+    now, links = {i: i for i in range(1, 9)}, [tuple(e) for e in edges.collect()]
+    for _ in range(20):
+        votes = {i: [now[b] for a, b in links if a == i] for i in now}
+        now = {i: min(v, key=lambda x: (-v.count(x), x)) if v else now[i] for i, v in votes.items()}  # noqa: B023
+    assert labels == now
     g = spark.createDataFrame([(1, 2), (1, 3)], "seed long, node long")
     v = spark.createDataFrame([(1, 3), (1, 4), (1, 5)], "seed long, node long")
     assert tuple(graphs.found_by(g, v).first()) == (1, 1, 1, 2, 0.25)
