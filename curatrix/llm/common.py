@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ WORD = re.compile(r"\w+")
 #: A side of a join is broadcast up to so many ids (about 32 MB as a hash table); beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Word hashes that a worker keeps; the store is emptied when it is full.
-MEMO = 400_000
+MEMO = 150_000
 
 
 class Memo(dict):
@@ -26,6 +28,13 @@ class Memo(dict):
         return value
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in small runs of rows, so that no more texts at once are Python objects; an empty batch stays one."""
+    for batch in batches:
+        for i in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(i, rows)
+
+
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 

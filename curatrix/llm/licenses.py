@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import BROADCAST_IDS, Memo, id_text, kgrams, word_hashes, words_of
+from curatrix.llm.common import BROADCAST_IDS, Memo, id_text, kgrams, sliced, word_hashes, words_of
 
 K, SHIFT, COVERAGE = 3, 4, 0.6
 
@@ -46,7 +46,7 @@ def template_grams(templates: dict[str, str], k: int) -> list[tuple[str, int, in
 def _grams(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
-        for batch in batches:
+        for batch in sliced(batches):
             parts = [kgrams(word_hashes(words_of(t), memo), k) for t in batch.column(1).to_pylist()]
             offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
             flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import MEMO, id_text, words_of
+from curatrix.llm.common import MEMO, id_text, sliced, words_of
 
 SEED_WORDS = ("idiot", "moron", "stupid", "scum", "trash", "worthless", "pathetic", "disgusting", "loser", "clown")
 #: Labelled rows, by smallest hash of doc_id, from which stems are induced.
@@ -66,7 +66,7 @@ def chosen_stems(good: list[str], found: list[list[int]], least: int, most: int)
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, 2_000):
         hit, miss = Counter(), Counter()
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
             (hit if y else miss).update(stems_in(text))
@@ -250,7 +250,7 @@ def _training(voters: Voters):
     """(mask, entries) of each text: its votes and its features; only these reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([voters.mask(t) for t in texts], pa.int32()), pa.array([features(t).tobytes() for t in texts], pa.binary())], ["doc_id", "mask", "entries"])
 
