@@ -1,9 +1,19 @@
-"""Language-model scoring with a hashed maximum-entropy model.
-
-The next word's probability is p(class | context) * p(word | class, context). Both factors are softmax
-models over three hashed context features: the last word, the last two words, and the word before the
-last (a skip), plus a bias. Frequent words have places of their own, ordered by frequency and cut
-into classes of equal size; all other words share the places of the last class by hash.
+"""Language-model scoring with counts of all n-grams over a hashed maximum-entropy model.
+
+The base of the next word's probability is p(class | context) * p(place | class, context) * p(word | place).
+The first two factors are softmax models over three hashed context features: the last word, the last
+two words, and the word before the last (a skip), plus a bias. Frequent words have places of their own,
+ordered by frequency and cut into classes of equal size; all other words share the places of the last
+class by hash, and their last factor is the word's count among those of its place, where unseen words
+have the share of the words seen once. The softmax tables have a fixed size; what is learned of words
+and n-grams beyond them is in counts that grow with the documents.
+
+On the base stand the counts of all skip pairs, word pairs and word triples of the documents, each
+interpolated with the one before: (max(count - DISCOUNT, 0) + DISCOUNT * kinds * lower) / total, with
+the total and the different next words (kinds) of the context. DISCOUNT is just below 1, as a document
+is scored by a model that has counted it: what occurs once only occurs in the text itself and hardly
+counts. The count tables are partitioned by context (of frequent contexts, by context and word). Each
+run of documents asks the partitions for its own n-grams and gets their counts back, in PASSES by kind.
 
 Training passes over all documents once, in ROUNDS shares by hash of doc_id. In a round every task
 starts from the broadcast model and makes Adagrad updates on its documents; it emits its change of
@@ -15,6 +25,8 @@ the weight rows of the features present.
 from __future__ import annotations
 
 import functools
+import gc
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import id_text
+from curatrix.session import dropped, stored
 
 CLASSES, WIDTH = 16, 32
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
@@ -31,6 +44,17 @@ FEATURES = 3
 ROUNDS, RATE, STEP = 2, 0.3, 8_192
 #: Rows of a weight table in a block of the exchange.
 BLOCK = 1_024
+PLACES = CLASSES * WIDTH
+DISCOUNT = 0.9999
+#: Words of a run of documents that asks for its counts together, and of a partition of the counts, on average.
+RUN, PART = 500_000, 1_000_000
+#: An n-gram's key: upper bits of the context's hash, lower bits of the word's; its partition takes other bits.
+WORD_BITS = np.uint64(28)
+LOW = np.uint64((1 << 28) - 1)
+#: Contexts from weakest to strongest, as rows of positions(); the context of single words.
+ORDER, NONE = [2, 0, 1], np.uint64(0x5851F42D4C957F2D)
+#: Places in ORDER, after it single words, that are counted in a pass; one pass's requests are on disk at a time.
+PASSES = [[0, FEATURES], [1], [2]]
 
 
 @functools.cache
@@ -70,7 +94,7 @@ def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Places:
-    """The place (class * WIDTH + position) of hashed words: their own for frequent ones, shared by hash in the last class for others."""
+    """Targets of hashed words: bits of the hash above the place (class * WIDTH + position), which is their own for frequent words, shared by hash in the last class for others."""
 
     def __init__(self, frequent: list[int]):
         hashes = np.array(frequent, np.int64).view(np.uint64)
@@ -79,10 +103,18 @@ class Places:
 
     def of(self, h: np.ndarray) -> np.ndarray:
         other = (CLASSES - 1) * WIDTH + ((h >> np.uint64(40)) % np.uint64(WIDTH)).astype(np.int64)
+        word = (h >> np.uint64(11)).astype(np.int64) * PLACES
         if not len(self.hashes):
-            return other
+            return word + other
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.order[at], other)
+        return word + np.where(self.hashes[at] == h, self.order[at], other)
+
+    def heavy(self) -> np.ndarray:
+        """Sorted contexts whose n-grams are spread over all partitions: none, frequent words, starts of texts."""
+        words = np.append(self.hashes, np.array([1, 2], np.uint64))
+        with np.errstate(over="ignore"):
+            start = _mix(np.array([0x9E3779B97F4A7C16], np.uint64), 5)
+            return np.sort(np.concatenate([_mix(words, 3), _mix(words, 7), start, [NONE]]))
 
 
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
@@ -137,6 +169,7 @@ class Model:
 
     def __init__(self, class_w: np.ndarray | None = None, word_w: np.ndarray | None = None):
         self.tables = [np.zeros((CLASS_ROWS, CLASSES), np.float32) if class_w is None else class_w, np.zeros((WORD_ROWS, WIDTH), np.float32) if word_w is None else word_w]
+        self.corpus: Corpus | None = None
 
     @staticmethod
     def rows(target: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,9 +195,16 @@ class Model:
         return z
 
     def log_probability(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Of places, by the softmax models alone; of words after train(), by all counts, looked up in a Spark job."""
+        base = self.log_places(target, context)
+        if self.corpus is None or not (target >= PLACES).any():
+            return base
+        return np.where(target < PLACES, base, np.log(self.corpus.shares.chain(target, np.exp(base), *self.corpus.lookup(target, context))))
+
+    def log_places(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
         out = np.empty(len(target))
         for a in range(0, len(target), STEP):
-            t, x = target[a : a + STEP], context[:, a : a + STEP]
+            t, x = target[a : a + STEP] % PLACES, context[:, a : a + STEP]
             i = np.arange(len(t))
             pair = zip(self.tables, self.rows(t, x), (t // WIDTH, t % WIDTH), strict=True)
             out[a : a + STEP] = sum(np.log(self.softmax(table, rows)[i, y].astype(float)) for table, rows, y in pair)
@@ -182,7 +222,7 @@ class Trainer:
 
     def update(self, target: np.ndarray, context: np.ndarray) -> None:
         for a in range(0, len(target), STEP):
-            t, x = target[a : a + STEP], context[:, a : a + STEP]
+            t, x = target[a : a + STEP] % PLACES, context[:, a : a + STEP]
             i = np.arange(len(t))
             for f, (table, rows, y) in enumerate(zip(self.model.tables, self.model.rows(t, x), (t // WIDTH, t % WIDTH), strict=True)):
                 g = self.model.softmax(table, rows)
@@ -245,49 +285,241 @@ def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"f": pdf.f.iloc[:1], "b": pdf.b.iloc[:1], "mean": [mean.tobytes()]})
 
 
-def _score(model, frequent: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, final = Places(frequent), Model(*model.value)
-        for batch in batches:
-            for start, part in chunks(batch.column(1)):
-                target, context, sizes = positions(part, places)
-                total = np.concatenate([[0.0], np.cumsum(final.log_probability(target, context))])
-                ends = np.cumsum(sizes)
-                log_p = total[ends] - total[ends - sizes]
-                bits = np.divide(-log_p, sizes * np.log(2), out=np.zeros(len(sizes)), where=sizes > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(sizes), pa.array(np.round(log_p, 6)), pa.array(np.round(bits, 6), mask=sizes == 0)], ["doc_id", "n_words", "log_p", "bits_per_word"])
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of x, first all lowest ones and so on; counts are mostly small and are compressed, keys hardly would be."""
+    data = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return data if x.itemsize == 8 else zlib.compress(data, 1)
+
+
+def _unplaned(data: bytes, kind) -> np.ndarray:
+    if np.dtype(kind).itemsize < 8:
+        data = zlib.decompress(data)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def gram_keys(target: np.ndarray, context: np.ndarray, heavy: np.ndarray, parts: int, kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, partition) of the n-grams of these kinds at each position, one kind after the other."""
+    word = target.astype(np.uint64) // np.uint64(PLACES)
+    keys, homes = [], []
+    for x in (context[ORDER[k]] if k < FEATURES else np.full(len(word), NONE) for k in kinds):
+        keys.append((x & ~LOW) | (word & LOW))
+        with np.errstate(over="ignore"):
+            homes.append((np.where(_among(x, heavy), x ^ _mix(word, 13), x) & LOW) % np.uint64(parts))
+    return np.concatenate(keys), np.concatenate(homes).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+
+
+def distinct_grams(key: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, partition, count) by partition and key, and where each of the given ones is among them."""
+    by = np.argsort(key)
+    by = by[np.argsort(part[by], kind="stable")]
+    k, p = key[by], part[by]
+    new = np.ones(len(k), np.bool_)
+    new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
+    where = np.empty(len(k), np.int64)
+    where[by] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return k[first], p[first], np.diff(np.append(first, len(k))), where
+
+
+def _requests(run: int, key: np.ndarray, part: np.ndarray, count: np.ndarray) -> pd.DataFrame:
+    """A row for each partition asked: the sorted keys as differences, and their counts in the run."""
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else [0]
+    pieces = list(zip(cuts, cuts[1:], strict=False))
+    return pd.DataFrame({"part": [int(part[a]) for a, _ in pieces], "run": np.full(len(pieces), run, np.int64), "keys": [_planes(np.diff(key[a:b], prepend=np.uint64(0))) for a, b in pieces], "counts": [_planes(count[a:b].astype(np.uint32)) for a, b in pieces]})
+
+
+def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(["doc_id", "text"], kind="stable")
+
+
+def _ask(frequent: list[int], parts: int, kinds: list[int]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        places = Places(frequent)
+        target, context, _ = positions(_texts(_ordered(pdf)), places)
+        key, part, count, _ = distinct_grams(*gram_keys(target, context, places.heavy(), parts, kinds))
+        return _requests(int(pdf.run.iloc[0]), key, part, count)
+
+    return run
+
+
+def _texts(pdf: pd.DataFrame) -> list[str | None]:
+    return [t if isinstance(t, str) else None for t in pdf.text]
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+
+
+def _answer(heavy: np.ndarray):
+    """To each run, for the keys it asked for in turn: count, total of the context, its different next words.
+
+    Of a heavy context the last two are the partition's share; a row of run -1 has them to be added up.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        with np.errstate(over="ignore"):
+            asked = [np.cumsum(_unplaned(k, np.uint64), dtype=np.uint64) for k in pdf["keys"]]
+        n = np.concatenate([_unplaned(c, np.uint32) for c in pdf["counts"]])
+        key = np.concatenate(asked)
+        by = np.argsort(key)
+        first = _starts(k := key[by])
+        count = np.add.reduceat(n[by], first, dtype=np.int64)
+        gram = np.empty(len(key), np.int64)
+        gram[by] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        context = k[first] >> WORD_BITS
+        start = _starts(context)
+        total, kinds = np.add.reduceat(count, start), np.add.reduceat((count > 0).astype(np.int64), start)
+        of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(first))))
+        flat = np.stack([count, total[of], kinds[of]]).astype(np.uint32)[:, gram]
+        ends = np.cumsum([0, *map(len, asked)])
+        shared = np.flatnonzero(_among(context[start], heavy >> WORD_BITS))
+        sums = np.stack([context[start][shared].view(np.int64), total[shared], kinds[shared]])
+        return pd.DataFrame({"run": [*pdf.run, -1], "part": int(pdf.part.iloc[0]), "answer": [*(_planes(flat[:, a:b].ravel()) for a, b in zip(ends, ends[1:], strict=False)), sums.tobytes()]})
 
     return run
 
 
-def frequent_words(texts: DataFrame) -> list[int]:
-    """Hashes of the most frequent words of all documents, as many as have places; equal counts by hash."""
-    counts = texts.select("text").mapInArrow(_count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r.w for r in counts.orderBy(F.desc("n"), "w").limit((CLASSES - 1) * WIDTH).collect()]
+def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for data in pdf.answer:
+            yield pd.DataFrame(dict(zip(("context", "total", "kinds"), np.frombuffer(data, np.int64).reshape(3, -1), strict=True)))
+
+
+def heavy_totals(answers: DataFrame) -> np.ndarray:
+    """(context, total, kinds) of the heavy contexts, a fixed number, over all partitions."""
+    rows = answers.where("run = -1").select("answer").mapInPandas(_shared, "context long, total long, kinds long").groupBy("context").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).orderBy("context").collect()
+    return np.array([tuple(r) for r in rows], np.int64).reshape(-1, 3).T
+
+
+def answered(answers: list[bytes], key: np.ndarray, where: np.ndarray, heavy: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Count, total and kinds, each of as many rows as kinds of n-grams were asked, from the answers in order of partition."""
+    own = np.concatenate([_unplaned(a, np.uint32).reshape(3, -1) for a in answers], 1).astype(np.int64)
+    context = (key >> WORD_BITS).astype(np.int64)
+    at = np.minimum(np.searchsorted(heavy[0], context), heavy.shape[1] - 1)
+    own[1:] = np.where(heavy[0][at] == context, heavy[1:, at], own[1:])
+    return [x[where].reshape(rows, -1) for x in own]
+
+
+class Shares:
+    """Of the places of the last class: occurrences, and words seen once (at least one), which is the share of unseen words."""
+
+    def __init__(self, rows: list[tuple[int, int, int]]):
+        self.total, self.once = np.zeros(WIDTH), np.ones(WIDTH)
+        for place, total, once in rows:
+            self.total[place], self.once[place] = total, max(1, once)
+
+    def chain(self, target: np.ndarray, place_p: np.ndarray, count: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        place = target % PLACES
+        i = np.maximum(place - (CLASSES - 1) * WIDTH, 0)
+        p = place_p * np.where(place < (CLASSES - 1) * WIDTH, 1.0, np.where(count[-1] > 0, count[-1], self.once[i]) / (self.total[i] + self.once[i]))
+        for c, n, k in zip(count[:-1], total[:-1], kinds[:-1], strict=True):
+            p = np.where(n > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * k * p) / np.maximum(n, 1), p)
+        return p
+
+
+def _score(model, frequent: list[int], parts: int, heavy: np.ndarray, shares: Shares):
+    def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        places, final, pdf = Places(frequent), Model(*model.value), _ordered(pdf)
+        target, context, sizes = positions(_texts(pdf), places)
+        log_p = np.zeros(len(sizes))
+        if len(target):
+            found = np.empty((3, FEATURES + 1, len(target)), np.int64)
+            for turn, kinds in enumerate(PASSES):
+                key, _, _, where = distinct_grams(*gram_keys(target, context, places.heavy(), parts, kinds))
+                found[:, kinds] = answered(list(answers[answers.turn == turn].sort_values("part").answer), key, where, heavy, len(kinds))
+            total = np.concatenate([[0.0], np.cumsum(np.log(shares.chain(target, np.exp(final.log_places(target, context)), *found)))])
+            ends = np.cumsum(sizes)
+            log_p = total[ends] - total[ends - sizes]
+        bits = np.divide(-log_p, sizes * np.log(2), out=np.zeros(len(sizes)), where=sizes > 0)
+        return pd.DataFrame({"doc_id": pdf.doc_id.to_numpy(), "n_words": sizes, "log_p": np.round(log_p, 6), "bits_per_word": pd.arrays.FloatingArray(np.round(bits, 6), sizes == 0)})
+
+    return run
+
+
+_ASK, _TOLD = "part int, run long, keys binary, counts binary", "run long, part int, answer binary"
+
+
+class Corpus:
+    """The documents in runs by hash of doc_id, and the counts of their n-grams."""
+
+    def __init__(self, texts: DataFrame, frequent: list[int], words: int, shares: Shares):
+        self.frequent, self.shares = frequent, shares
+        self.parts = max(1, -(-words // PART))
+        self.heavy = Places(frequent).heavy()
+        self.runs = texts.withColumn("run", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(max(1, -(-words // RUN)))))
+
+    def answers(self, probes: list[pd.DataFrame] | None = None) -> DataFrame:
+        """What _answer() gives in each pass (turn), to the runs or to the probes' run alone."""
+        spark, told = self.runs.sparkSession, []
+        for turn, kinds in enumerate(PASSES):
+            asked = self.runs.groupBy("run").applyInPandas(_ask(self.frequent, self.parts, kinds), _ASK)
+            if probes:
+                asked = asked.union(spark.createDataFrame(probes[turn], _ASK))
+            told.append(stored(asked.groupBy("part").applyInPandas(_answer(self.heavy), _TOLD), "answers"))
+            del asked
+            # Else the pass's shuffle files, several times the text, stay until the driver happens to collect its garbage.
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+        return functools.reduce(DataFrame.union, [t.withColumn("turn", F.lit(i)) for i, t in enumerate(told)])
+
+    def lookup(self, target: np.ndarray, context: np.ndarray) -> list[np.ndarray]:
+        """Count, total and kinds, by ORDER and single words last, of any few words in their contexts: they ask with counts of 0."""
+        wanted = [distinct_grams(*gram_keys(target, context, self.heavy, self.parts, kinds)) for kinds in PASSES]
+        answers = self.answers([_requests(-2, key, part, count * 0) for key, part, count, _ in wanted])
+        heavy, out = heavy_totals(answers), np.empty((3, FEATURES + 1, len(target)), np.int64)
+        mine = answers.where("run = -2").orderBy("turn", "part").collect()
+        for turn, (kinds, (key, _, _, where)) in enumerate(zip(PASSES, wanted, strict=True)):
+            out[:, kinds] = answered([r.answer for r in mine if r.turn == turn], key, where, heavy, len(kinds))
+        return list(out)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(w, n): hash and occurrences of every word of all documents."""
+    return texts.select("text").mapInArrow(_count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def counted(texts: DataFrame) -> tuple[list[int], int, Shares]:
+    """(hashes of the most frequent words, as many as have places, equal counts by hash; words in all; shares of the other places)."""
+    counts = stored(word_counts(texts), "words")
+    frequent = [r.w for r in counts.orderBy(F.desc("n"), "w").limit((CLASSES - 1) * WIDTH).collect()]
+    words = counts.agg(F.sum("n")).first()[0] or 0
+    place = F.expr(f"shiftrightunsigned(w, 40) % {WIDTH}").alias("place")
+    others = counts.where(~F.col("w").isin(frequent)).groupBy(place).agg(F.sum("n"), F.sum((F.col("n") == 1).cast("long"))).collect()
+    dropped(counts)
+    return frequent, words, Shares([tuple(r) for r in others])
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, list[int]]:
     texts = id_text(docs)
     context = docs.sparkSession.sparkContext
-    frequent = frequent_words(texts)
+    frequent, words, shares = counted(texts)
     model = Model()
     for r in range(rounds):
         share = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("text")
-        # The model has a fixed size, 2.5 MB, so broadcasting and collecting it doesn't grow with the input.
+        # The softmax tables have a fixed size, 2.5 MB, so broadcasting and collecting it doesn't grow with the input.
         changes = share.mapInArrow(_train(context.broadcast(tuple(model.tables)), frequent), "f int, b int, n binary, change binary")
         for row in changes.groupBy("f", "b").applyInPandas(_sum, "f int, b int, mean binary").collect():
             block = model.tables[row.f][row.b * BLOCK : (row.b + 1) * BLOCK]
             block += np.frombuffer(row.mean, np.float32).reshape(block.shape)
+    model.corpus = Corpus(texts, frequent, words, shares)
     return model, frequent
 
 
 def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_words, log_p, bits_per_word) for every row that has a doc_id, by a model of docs itself.
 
-    log_p: natural logarithm of the document's probability, the end of a text not counted. Null and
+    log_p: natural logarithm of the document's probability, word by word, the end of a text not counted. Null and
     empty texts and texts without a word have 0 words, log_p 0 and null bits_per_word. Repeated rows
     are trained on and scored once each. Empty tables give no rows. Only doc_id and text are read.
     """
     model, frequent = train(docs, rounds)
+    corpus = model.corpus
+    answers = corpus.answers()
+    heavy = heavy_totals(answers)
     final = docs.sparkSession.sparkContext.broadcast(tuple(model.tables))
-    return id_text(docs).mapInArrow(_score(final, frequent), "doc_id long, n_words long, log_p double, bits_per_word double")
+    score = _score(final, frequent, corpus.parts, heavy, corpus.shares)
+    return corpus.runs.groupBy("run").cogroup(answers.where("run >= 0").groupBy("run")).applyInPandas(score, "doc_id long, n_words long, log_p double, bits_per_word double")

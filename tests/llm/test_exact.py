@@ -292,6 +292,39 @@ def test_lm_is_a_distribution_and_learns(spark, docs):
     assert abs(next(r.log_p for r in got if r.doc_id == one.doc_id) - model.log_probability(t, c).sum()) < 1e-2
 
 
+def test_lm_counts_every_word_and_gram(spark, monkeypatch):
+    """Words beyond the places, pairs and triples count apart; all words and the unseen ones sum to one; invented words score low."""
+    monkeypatch.setattr(lm_scoring, "RUN", 3_000)
+    monkeypatch.setattr(lm_scoring, "PART", 5_000)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{min(int(x), 900)}" for x in rng.zipf(1.2, 200)) for _ in range(100)]
+    invented = " ".join(f"q{i}" for i in range(200))
+    twin = " ".join(f"z{i}" for i in range(200))
+    texts += [invented, twin, twin]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.bits_per_word for r in lm_scoring.lm_scores(df).collect()}
+    assert got[100] > max(got[i] for i in range(100)) and got[101] < 2 and got[102] < 2
+    model, frequent = lm_scoring.train(df)
+    places = lm_scoring.Places(frequent)
+    split = [words_of(t) for t in texts]
+    vocabulary = sorted({w for t in split for w in t})
+    for a, b in (("w1", "w2"), ("w1", "w30"), ("z4", "z5"), ("new", "word")):
+        target, context, _ = lm_scoring.positions([f"{a} {b} {w}" for w in vocabulary], places)
+        count, total, kinds = (x[:, 2::3] for x in model.corpus.lookup(target, context))
+        grams = [[(t[i - 2], t[i]) for t in split for i in range(2, len(t))], list(p for t in split for p in zip(t, t[1:])), [p for t in split for p in zip(t, t[1:], t[2:])]]
+        for o, c in enumerate(((a,), (b,), (a, b))):
+            want = Counter(g[-1] for g in grams[o] if g[:-1] == c)
+            assert count[o].tolist() == [want[w] for w in vocabulary] and set(total[o]) == {sum(want.values())} and set(kinds[o]) == {len(want)}
+        assert count[3].tolist() == [sum(t.count(w) for t in split) for w in vocabulary]
+        p = np.exp(model.log_probability(target, context)[2::3]).sum()
+        lower = 1.0
+        for n, k in zip(total[:3, 0], kinds[:3, 0]):
+            lower *= lm_scoring.DISCOUNT * k / n if n else 1
+        shares, last = model.corpus.shares, np.arange((lm_scoring.CLASSES - 1) * lm_scoring.WIDTH, lm_scoring.PLACES)
+        unseen = (np.exp(model.log_places(last, np.repeat(context[:, 2:3], len(last), 1))) * shares.once / (shares.total + shares.once)).sum()
+        assert len(frequent) == (lm_scoring.CLASSES - 1) * lm_scoring.WIDTH and abs(p + lower * unseen - 1) < 1e-3
+
+
 def test_gradient_sums_as_naive():
     rng = np.random.default_rng(0)
     r, g = rng.integers(0, 50, (4, 200)), rng.standard_normal((200, 16)).astype(np.float32)
