@@ -257,6 +257,25 @@ def test_embedding_pairs_as_brute_force(spark, threshold):
     assert len(got - want) <= 1 and len(got & want) >= 0.95 * len(want)
 
 
+def test_isolated_embedding_pairs_beside_a_hot_group(spark, monkeypatch):
+    """A small audit, so that nearly all pairs come from the lists; one large group must not outvote the pairs."""
+    monkeypatch.setattr(embedding_dedup, "AUDIT", 100)
+    monkeypatch.setattr(embedding_dedup, "SPARSE", 60, raising=False)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.standard_normal((4_000, 64))
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    c = rng.uniform(0.905, 0.95, (4_000, 1))
+    near = c * x + np.sqrt(1 - c * c) * noise
+    x[1_000:1_400] = near[:400]
+    x[2_000:2_500] = x[1_999] + 0.01 * rng.standard_normal((500, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.vec_a, r.vec_b) for r in embedding_dedup.near_duplicate_pairs(df, neighbours=2).collect()}
+    assert sum((i, 1_000 + i) in got for i in range(400)) >= 0.93 * 400
+
+
 # Token counts
 
 
