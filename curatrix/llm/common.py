@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,99 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
             yield batch.slice(i, rows)
 
 
+#: Characters that are hashed in one numpy pass, about; a longer text is cut at white space.
+LONG = 1 << 21
+_SPACE = re.compile(r"\s")
+
+
+@functools.cache
+def _word_chars() -> np.ndarray:
+    r"""Whether each code point belongs to a word, as \w has it."""
+    return np.fromiter((c.isalnum() or c == "_" for c in map(chr, range(0x110000))), np.bool_, 0x110000)
+
+
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2 ** 64."""
+    base = 0x9E3779B97F4A7C15
+    with np.errstate(over="ignore"):
+        return tuple(np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, b, np.uint64))) for b in (base, pow(base, -1, 1 << 64)))
+
+
+def mixed_bits(h: np.ndarray, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(32))
+
+
+def piece_hashes(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the pieces of code points that begin at starts; code holds them back to back.
+
+    A polynomial in the piece's own characters: summed with running powers, then shifted back to its start.
+    """
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    power, inverse = _powers(1 << max(10, int(len(code) - 1).bit_length()))
+    with np.errstate(over="ignore"):
+        return mixed_bits(np.add.reduceat((code.astype(np.uint64) + np.uint64(1)) * power[: len(code)], starts) * inverse[starts], 1)
+
+
+def runs_of(texts: list[str | None], cuts: re.Pattern = _SPACE, most: int = LONG) -> Iterator[tuple[list[str], list[int]]]:
+    """(pieces, the text of each) of about `most` characters in all; only texts longer than that are cut, where `cuts` matches."""
+    pieces: list[str] = []
+    owner: list[int] = []
+    total = 0
+    for i, text in enumerate(texts):
+        at, size = 0, len(text) if text else 0
+        while at < size:
+            end = size
+            if size - at > most and (m := cuts.search(text, at + most)):
+                end = m.start()
+            pieces.append(text if end - at == size else text[at:end])
+            owner.append(i)
+            total += end - at
+            at = end
+            if total >= most:
+                yield pieces, owner
+                pieces, owner, total = [], [], 0
+    if pieces:
+        yield pieces, owner
+
+
+def code_points(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all pieces, each followed by a line end; where each piece's line end is)."""
+    code = np.frombuffer("\n".join([*pieces, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return code, np.cumsum([len(p) + 1 for p in pieces]) - 1
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each lower-case word of all texts in turn, words of each text); null texts have none."""
+    found, counts = [], np.zeros(len(texts), np.int64)
+    for pieces, owner in runs_of([t.lower() if t else None for t in texts]):
+        code, ends = code_points(pieces)
+        inside = _word_chars()[code]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            edge = np.append(0, edge)  # every piece ends outside a word, so edges come in pairs
+        start, size = edge[::2], edge[1::2] - edge[::2]
+        np.add.at(counts, owner, np.diff(np.searchsorted(start, ends), prepend=0))
+        found.append(piece_hashes(code[inside], np.cumsum(size) - size))
+    return (np.concatenate(found) if found else np.empty(0, np.uint64)), counts
+
+
+def text_runs(texts: pa.Array, chars: int = LONG) -> Iterator[tuple[int, list[str | None]]]:
+    """(start, texts) of runs of about that many characters; a longer text is a run of its own."""
+    start, n = 0, len(texts)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    while start < n:
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + chars, "right")))
+        yield start, texts.slice(start, end - start).to_pylist()
+        start = end
+
+
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 

@@ -1,54 +1,15 @@
-"""Document lengths in words, read straight from Arrow's buffers."""
+"""Document lengths in tokens, for the operators that pack and balance."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SPACE = np.zeros(256, np.bool_)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-#: Bytes of text that are looked at in one numpy pass; the arrays made for them stay small.
-RUN = 4 << 20
-
-
-def word_counts(texts: pa.Array) -> np.ndarray:
-    """Runs of bytes other than ASCII white space in each text; 0 for null and empty texts."""
-    n = len(texts)
-    out = np.zeros(n, np.int64)
-    texts = texts.cast(pa.large_string())
-    _, offsets, data = texts.buffers()
-    if n == 0 or data is None:
-        return out
-    at = np.frombuffer(offsets, np.int64, n + 1, texts.offset * 8)
-    data = np.frombuffer(data, np.uint8)
-    low = 0
-    while low < n:
-        # As many texts as fit a run, one at least.
-        high = max(low + 1, int(np.searchsorted(at, at[low] + RUN, "right")) - 1)
-        edges = at[low : high + 1] - at[low]
-        space = _SPACE[data[at[low] : at[high]]]
-        starts = ~space
-        starts[1:] &= space[:-1]
-        first = edges[:-1][edges[:-1] < edges[1:]]
-        starts[first] = ~space[first]
-        out[low:high] = np.diff(np.searchsorted(np.flatnonzero(starts), edges))
-        low = high
-    return out
-
-
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(word_counts(batch.column(2)), pa.int64())], ["doc_id", "source", "n_words"])
+from curatrix.llm.token_counts import with_tokens
 
 
 def with_lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, n_words), one row for each row that has a doc_id; a table without source has it null."""
+    """(doc_id, source, n_tokens), one row for each row that has a doc_id; a table without source has it null."""
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    cols = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), source.alias("source"), F.col("text").cast("string").alias("text"))
-    return cols.where("doc_id is not null").mapInArrow(_run, "doc_id long, source string, n_words long")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), source.alias("source"), F.col("text").cast("string").alias("text"))
+    return with_tokens(rows.where("doc_id is not null"))

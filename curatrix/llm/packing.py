@@ -1,25 +1,30 @@
 """Best-fit packing of documents into training sequences, certified by lower bounds.
 
-Documents are spread over partitions by hash and packed there by best-fit decreasing. Dual-feasible
-functions give each partition a lower bound on its bins; where the packing meets the bound it is
-optimal and final. Partitions with a gap exchange their documents (a new hash spreads them over half
-as many partitions) and are packed again; the new packing replaces the old one if it needs fewer bins.
+Lengths are token counts. Documents are spread over partitions by hash and packed there by best-fit
+decreasing. Dual-feasible functions give each partition a lower bound on its bins; where the packing
+meets the bound it is optimal and final. Partitions with a gap are paired, each pair pools its
+documents and is packed again; a pair's new packing stands if it needs fewer bins than its two old
+ones. Rounds go on, with other pairs, until one brings nothing.
 """
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.llm.common import BROADCAST_IDS
 from curatrix.llm.lengths import with_lengths
 from curatrix.session import dropped, stored
 
 CAPACITY = 2048
 #: Pieces in a partition, about; a partition is packed in one worker's memory.
 PARTITION = 40_000
-ROUNDS = 3
+#: Partitions that have pooled their documents up to so many times PARTITION pieces aren't paired any more.
+POOLED = 16
 
 
 def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -71,66 +76,98 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, offsets, used
 
 
-_SCHEMA = "doc_id long, piece long, n_words long, part long, bin long, offset long, bins long, bound long"
+_SCHEMA = "row long, doc_id long, piece long, n_tokens long, part long, bin long, offset long, bins long, bound long, pieces long"
 
 
 def _pack(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        sizes = pdf.n_words.to_numpy(np.int64)
+        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable")
+        sizes = pdf.n_tokens.to_numpy(np.int64)
         bins, offsets, used = best_fit_decreasing(sizes, capacity)
-        return pdf[["doc_id", "piece", "n_words", "part"]].assign(bin=bins, offset=offsets, bins=used, bound=lower_bound(*np.unique(sizes, return_counts=True), capacity))
+        bound = lower_bound(*np.unique(sizes, return_counts=True), capacity)
+        return pdf[["row", "doc_id", "piece", "n_tokens", "part"]].assign(bin=bins, offset=offsets, bins=used, bound=bound, pieces=len(pdf))
 
     return run
 
 
 def pieces_of(lengths: DataFrame, capacity: int) -> DataFrame:
-    """A document longer than a bin is cut into full bins and a rest; words stay in order."""
-    n = F.ceil(F.col("n_words") / F.lit(capacity)).cast("bigint")
-    cut = lengths.where("n_words > 0").select("doc_id", F.col("n_words").alias("all"), F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("piece"))
-    return cut.select("doc_id", "piece", F.least(F.lit(capacity), F.col("all") - F.col("piece") * capacity).cast("bigint").alias("n_words"))
+    """A document longer than a bin is cut into full bins and a rest; tokens stay in order. row tells pieces apart, whatever repeats."""
+    n = F.ceil(F.col("n_tokens") / F.lit(capacity)).cast("bigint")
+    cut = lengths.where("n_tokens > 0").select("doc_id", F.col("n_tokens").alias("all"), F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("piece"))
+    size = F.least(F.lit(capacity), F.col("all") - F.col("piece") * capacity).cast("bigint")
+    return cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", "piece", size.alias("n_tokens"))
+
+
+def paired(gaps: list[int], met: list[int], seed: int) -> list[tuple[int, int]]:
+    """Partitions with a gap two by two; one that is left over goes with a certified one, if there is any."""
+    rng = random.Random(seed)
+    gaps = sorted(gaps)
+    rng.shuffle(gaps)
+    if len(gaps) % 2:
+        gaps += [rng.choice(sorted(met))] if met else []
+    return list(zip(gaps[::2], gaps[1::2], strict=False))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION, rounds: int = ROUNDS) -> DataFrame:
-    """(bin_id, doc_id, piece, n_words, offset, partition_bins, partition_bound), one row for each piece.
+def pack(docs: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION) -> DataFrame:
+    """(bin_id, doc_id, piece, n_tokens, offset, partition_bins, partition_bound), one row for each piece.
 
-    A piece's words are piece * capacity and on in its document, and offset and on in its bin.
+    A piece's tokens are piece * capacity and on in its document, and offset and on in its bin.
     partition_bins - partition_bound is the most bins by which its partition can miss the optimum;
-    full pieces are bins of their own and certified. Documents without words (null, empty, blank) and
+    full pieces are bins of their own and certified. Documents without tokens (null, empty) and
     rows without doc_id are left out. Rows that repeat a doc_id are packed once each. Pieces of equal
     size are packed by doc_id and piece. Empty tables give no rows. Only doc_id and text are read.
     """
-    pieces = stored(pieces_of(with_lengths(docs).select("doc_id", "n_words"), capacity), "pieces")
-    full, rest = pieces.where(F.col("n_words") == capacity), pieces.where(F.col("n_words") < capacity)
+    spark = docs.sparkSession
+    pieces = stored(pieces_of(with_lengths(docs).select("doc_id", "n_tokens"), capacity), "pieces")
+    full, rest = pieces.where(F.col("n_tokens") == capacity), pieces.where(F.col("n_tokens") < capacity)
     parts = max(1, -(-rest.count() // partition))
 
-    def run(df: DataFrame, n: int, salt: int, base: int) -> DataFrame:
-        part = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(n)) + base
-        return stored(df.select("doc_id", "piece", "n_words", part.cast("bigint").alias("part")).groupBy("part").applyInPandas(_pack(capacity), _SCHEMA), "packed")
-
-    def bins_of(df: DataFrame) -> int:
-        return df.select("part", "bins").distinct().agg(F.sum("bins")).first()[0] or 0
-
-    now = run(rest, parts, 0, 0)
-    done, base = [pieces], parts
-    final: DataFrame | None = None
-    for r in range(1, rounds + 1):
-        gap, met = now.where("bins > bound"), now.where("bins = bound")
-        n = gap.select("part").distinct().count()
-        if not n:
+    def packed(df: DataFrame) -> DataFrame:
+        return stored(df.select("row", "doc_id", "piece", "n_tokens", "part").groupBy("part").applyInPandas(_pack(capacity), _SCHEMA), "packed")
+
+    def summary(df: DataFrame) -> dict[int, tuple[int, int, int]]:
+        """(bins, bound, pieces) of each partition: one entry for some PARTITION pieces."""
+        return {r.part: (r.bins, r.bound, r.pieces) for r in df.select("part", "bins", "bound", "pieces").distinct().collect()}
+
+    def chosen(df: DataFrame, ids: list[int], to: list[int] | None = None) -> DataFrame:
+        table = spark.createDataFrame(list(zip(ids, to or ids, strict=True)), "part long, to long")
+        return df.join(F.broadcast(table) if len(ids) <= BROADCAST_IDS else table, "part").drop("part").withColumnRenamed("to", "part")
+
+    tables = [packed(rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(parts))))]
+    # Where each partition's rows lie; a partition whose pair did better is superseded.
+    where, state, base, turn = dict.fromkeys((s := summary(tables[0])), 0), s, parts, 0
+    while True:
+        turn += 1
+        small = {p for p, (_, _, n) in state.items() if n <= POOLED // 2 * partition}
+        pairs = paired([p for p in small if state[p][0] > state[p][1]], [p for p in small if state[p][0] == state[p][1]], turn)
+        if not pairs:
             break
-        again = run(gap.select("doc_id", "piece", "n_words"), -(-n // 2), r, base)
-        base += n
-        done.append(now)
-        final = met if final is None else final.union(met)
-        if bins_of(again) < bins_of(gap):
-            now = again
-        else:
+        to = {p: base + i for i, pair in enumerate(pairs) for p in pair}
+        base += len(pairs)
+        sources = sorted({where[p] for p in to})
+        now = None
+        for i in sources:
+            ids = [p for p in to if where[p] == i]
+            part = chosen(tables[i].select("row", "doc_id", "piece", "n_tokens", "part"), ids, [to[p] for p in ids])
+            now = part if now is None else now.union(part)
+        again = packed(now)
+        better = {p: x for p, x in summary(again).items()}
+        gained = [(a, b) for a, b in pairs if better[to[a]][0] < state[a][0] + state[b][0]]
+        if not gained:
             dropped(again)
-            now = gap
             break
-    final = now if final is None else final.union(now)
-    # Bins of cut documents are numbered from below zero up, so neither side can meet the other.
-    whole = full.select((-1 - F.pmod(F.xxhash64("doc_id", "piece"), F.lit(2**62))).alias("bin_id"), "doc_id", "piece", "n_words", F.lit(0).cast("bigint").alias("offset"), F.lit(1).cast("bigint").alias("partition_bins"), F.lit(1).cast("bigint").alias("partition_bound"))
-    mixed = final.select((F.col("part") * F.lit(2**31) + F.col("bin")).alias("bin_id"), "doc_id", "piece", "n_words", "offset", F.col("bins").alias("partition_bins"), F.col("bound").alias("partition_bound"))
+        tables.append(again)
+        for a, b in gained:
+            state[to[a]], where[to[a]] = better[to[a]], len(tables) - 1
+            for p in (a, b):
+                del state[p], where[p]
+    final = None
+    for i, table in enumerate(tables):
+        ids = sorted(p for p, at in where.items() if at == i)
+        part = table if len(tables) == 1 else chosen(table, ids).select(*table.columns) if ids else table.limit(0)
+        final = part if final is None else final.unionByName(part)
+    # Bins of full pieces are numbered from below zero down, so neither side can meet the other.
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    whole = full.select((-1 - F.col("row")).alias("bin_id"), "doc_id", "piece", "n_tokens", zero.alias("offset"), one.alias("partition_bins"), one.alias("partition_bound"))
+    mixed = final.select((F.col("part") * F.lit(2**31) + F.col("bin")).alias("bin_id"), "doc_id", "piece", "n_tokens", "offset", F.col("bins").alias("partition_bins"), F.col("bound").alias("partition_bound"))
     return mixed.union(whole)

@@ -76,8 +76,18 @@ def test_topk_ties_and_repeats(docs, items):
 
 
 def test_packing(docs):
-    got = packing.pack(docs, capacity=64).groupBy("doc_id").agg(F.sum("n_words").alias("n")).collect()
-    assert {r.doc_id: r.n for r in got} == {1: 6, 5: 150_007, 6: 12, 7: 41, 8: 1}
+    got = packing.pack(docs, capacity=64)
+    tokens = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()}
+    assert {r.doc_id: r.n for r in got.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()} == {i: n * (1 + (i == 6)) for i, n in tokens.items() if n}
+    assert got.groupBy("bin_id").agg(F.sum("n_tokens").alias("n")).agg(F.max("n")).first()[0] <= 64
+
+
+def test_packing_of_repeated_long_rows(spark):
+    """Full pieces of rows that repeat a doc_id are bins of their own."""
+    long = "word " * 500
+    df = spark.createDataFrame([(1, long), (1, long), (2, long)], "doc_id long, text string")
+    bins = packing.pack(df, capacity=64).groupBy("bin_id").agg(F.sum("n_tokens").alias("n"))
+    assert bins.agg(F.max("n")).first()[0] == 64 and bins.agg(F.sum("n")).first()[0] == 3 * token_counts.token_counts(df).first().n_tokens
 
 
 def test_lm(docs):
@@ -100,7 +110,7 @@ def test_embeddings(vectors):
 def test_mixing(docs):
     got = mixing.mixed(docs, share=1.0)
     assert ids(got, "doc_id") == [(i,) for i in range(1, 9)]
-    assert {r.n_words for r in got.where("doc_id = 6").collect()} == {12}
+    assert {r.n_tokens for r in got.where("doc_id = 6").collect()} == {12}
     assert mixing.drawn(docs, share=1.0).columns == docs.columns
 
 

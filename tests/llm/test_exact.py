@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from curatrix.llm import embedding_dedup, exact_topk, licenses, lm_scoring, mixing, near_dedup, packing, quality, token_counts, toxicity
 from curatrix.llm.common import Memo, words_of
-from curatrix.llm.lengths import word_counts
 
 
 @pytest.fixture(scope="module")
@@ -136,14 +135,21 @@ def test_bound_and_packing_enclose_the_optimum(sizes):
         assert inside[-1][1] <= 20 and all(p[1] <= q[0] for p, q in zip(inside, inside[1:]))
 
 
-def test_packing_keeps_every_word(spark, more):
+def brute_tokens(docs):
+    """Tokens of each document by the tokenizer itself."""
+    with open(token_counts.TOKENIZER, "rb") as f:
+        enc = token_counts.encoding(f.read())
+    return {r.doc_id: len(enc.encode_ordinary(r.text)) if r.text else 0 for r in docs.select("doc_id", "text").collect()}
+
+
+def test_packing_keeps_every_token(spark, more):
     df = packing.pack(more[0], capacity=512, partition=200).cache()
-    want = {r.doc_id: len(r.text.split()) if r.text else 0 for r in more[0].select("doc_id", "text").collect()}
+    want = brute_tokens(more[0])
     got = defaultdict(list)
     bins = defaultdict(list)
     for r in df.collect():
-        got[r.doc_id].append((r.piece, r.n_words))
-        bins[r.bin_id].append((r.offset, r.offset + r.n_words))
+        got[r.doc_id].append((r.piece, r.n_tokens))
+        bins[r.bin_id].append((r.offset, r.offset + r.n_tokens))
     for i, n in want.items():
         pieces = sorted(got.get(i, []))
         assert sum(x for _, x in pieces) == n and [p for p, _ in pieces] == list(range(len(pieces)))
@@ -155,23 +161,64 @@ def test_packing_keeps_every_word(spark, more):
     assert len(bins) <= 1.05 * sum(want.values()) / 512 + 5
 
 
+def lengths_as_given(monkeypatch, module):
+    """The number at a text's beginning instead of its tokens, for tables of chosen sizes."""
+    monkeypatch.setattr(module, "with_lengths", lambda df: df.select("doc_id", F.lit(None).cast("string").alias("source") if "source" not in df.columns else "source", F.col("text").cast("bigint").alias("n_tokens")))
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.integers(1, 45), min_size=1, max_size=9))
+def test_packing_of_small_tables_as_brute_force(spark, sizes):
+    """The whole operator: no bin overflows, nothing is lost, and bound and bins enclose the optimum."""
+    with pytest.MonkeyPatch.context() as patch:
+        lengths_as_given(patch, packing)
+        df = spark.createDataFrame([(1, str(x)) for x in sizes], "doc_id long, text string")  # one doc_id for all
+        got = packing.pack(df, capacity=20).collect()
+    bins = defaultdict(int)
+    for r in got:
+        bins[r.bin_id] += r.n_tokens
+    rest = [x % 20 for x in sizes if x % 20]
+    whole = sum(x // 20 for x in sizes)
+    assert sum(bins.values()) == sum(sizes) and max(bins.values()) <= 20
+    best = optimum(sorted(rest, reverse=True), 20) if rest else 0
+    assert max([r.partition_bound for r in got if r.n_tokens < 20], default=0) <= best <= len(bins) - whole
+
+
+def test_packing_pairs_partitions_with_gaps(spark, monkeypatch):
+    """Sizes that best fit leaves above the bounds: pairs are accepted one by one, and the bins fall."""
+    lengths_as_given(monkeypatch, packing)
+    rng = np.random.default_rng(1)
+    sizes = [int(x) for x in rng.choice([4, 5, 6, 7, 9], 3_000)]
+    df = spark.createDataFrame(list(enumerate(map(str, sizes))), "doc_id long, text string")
+    got = packing.pack(df, capacity=20, partition=12).collect()
+    monkeypatch.setattr(packing, "paired", lambda *_: [])
+    alone = packing.pack(df, capacity=20, partition=12).collect()
+    fill = Counter()
+    for r in got:
+        fill[r.bin_id] += r.n_tokens
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in alone) == list(range(3_000))
+    assert max(fill.values()) <= 20 and len(fill) < len({r.bin_id for r in alone})
+    assert len(fill) >= packing.lower_bound(*np.unique(sizes, return_counts=True), 20)
+
+
 # Mixing
 
 
-def test_mixing_balances_words_and_documents(spark):
+def test_mixing_balances_tokens_and_documents(spark):
     rng = np.random.default_rng(5)
     rows_ = [(i, f"s{i % 3}", " ".join(["w"] * int(rng.integers(1, 80)))) for i in range(3_000)]
     df = spark.createDataFrame([(i, t, s) for i, s, t in rows_], "doc_id long, text string, source string")
     weights = {"s0": 1.0, "s1": 2.0, "s2": 0.5}
-    got = mixing.mixed(df, weights, share=0.3, bucket=400).toPandas()
-    words = {s: sum(len(t.split()) for _, x, t in rows_ if x == s) for s in weights}
-    budget = 0.3 * sum(words.values())
+    got = mixing.mixed(df, weights, share=0.3, bucket=40).toPandas()
+    count = brute_tokens(df)
+    tokens = {s: sum(count[i] for i, x, _ in rows_ if x == s) for s in weights}
+    budget = 0.3 * sum(tokens.values())
     for s, w in weights.items():
         part = got[got.source == s]
-        p = budget * w / 3.5 / words[s]
+        p = budget * w / 3.5 / tokens[s]
         assert np.allclose(part.probability, p) and abs(len(part) - p * 1_000) < 2
-        assert abs(part.n_words.sum() - budget * w / 3.5) <= 2 * 80
-    again = mixing.mixed(df.repartition(7), weights, share=0.3, bucket=400).toPandas()
+        assert abs(part.n_tokens.sum() - budget * w / 3.5) <= 2 * 80
+    again = mixing.mixed(df.repartition(7), weights, share=0.3, bucket=40).toPandas()
     assert set(again.doc_id) == set(got.doc_id)
 
 
@@ -182,9 +229,31 @@ def test_flight_is_fair():
     assert np.abs(draws.sum(1) - p.sum()).max() < 1
 
 
-def test_targets_above_supply_go_to_the_others():
-    p = mixing.probabilities({"a": 10.0, "b": 1_000.0}, {"a": 1.0, "b": 1.0}, 0.5)
-    assert p["a"] == 1.0 and abs(p["b"] - 0.495) < 1e-9
+def shares(tokens: dict, weights: dict, share: float) -> dict:
+    """Inclusion probabilities source by source, in plain Python."""
+    budget = share * sum(tokens.values())
+    out = {s: 1.0 for s in tokens if tokens[s] == 0 and weights.get(s, 0) > 0} | {s: 0.0 for s in tokens if weights.get(s, 0) <= 0}
+    open_ = {s for s in tokens if s not in out}
+    while open_:
+        total = sum(weights[s] for s in open_)
+        whole = {s for s in open_ if budget * weights[s] / total >= tokens[s]}
+        if not whole:
+            return out | {s: budget * weights[s] / total / tokens[s] for s in open_}
+        out |= dict.fromkeys(whole, 1.0)
+        budget -= sum(tokens[s] for s in whole)
+        open_ -= whole
+    return out
+
+
+def test_targets_above_supply_go_to_the_others(spark):
+    rng = np.random.default_rng(7)
+    for share in (0.5, 0.9, 1.0):
+        tokens = {"a": 10, "b": 1_000, "z": 0} | {f"s{i}": int(x) for i, x in enumerate(rng.integers(1, 500, 20))}
+        weights = {"a": 1.0, "b": 1.0, "z": 2.0} | {f"s{i}": float(x) for i, x in enumerate(rng.random(20))} | {"s3": 0.0}
+        df = spark.createDataFrame([(s, n, weights[s]) for s, n in tokens.items()], "s string, tokens long, weight double")
+        got = {r.s: r.probability for r in mixing.probabilities(df, share).collect()}
+        want = shares(tokens, weights, share)
+        assert all(abs(got[s] - want[s]) < 1e-9 for s in tokens)
 
 
 # Near-dedup
@@ -291,6 +360,30 @@ def test_token_counts_as_the_tokenizer(spark, docs):
     assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(both).collect()} == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("'stdrevml xX9½ \n\t.!\u3000é日\u0301", max_size=30), max_size=6))
+def test_pretokens_as_the_pattern(texts):
+    import regex
+
+    found = [[] for _ in texts]
+    for code, start, size, _, owner in token_counts._split(texts):
+        for a, n, i in zip(start, size, owner):
+            found[i].append(token_counts._piece(code, a, n).decode())
+    assert found == [regex.findall(token_counts.PATTERN, t) for t in texts]
+
+
+def test_long_texts_are_cut_between_pretokens(monkeypatch):
+    from curatrix.llm import common
+
+    text = "it's  a long\n text, of 12 words  and more " * 30
+    whole = [h for *_, h, _ in token_counts._split([text])]
+    monkeypatch.setattr(common.runs_of, "__defaults__", (common._SPACE, 50))
+    parts = [h for *_, h, _ in token_counts._split([text, "x"])]
+    assert len(parts) > 5 and np.array_equal(np.concatenate(parts)[:-1], np.concatenate(whole))
+    words, n = common.hashed_words([text, None, "Two words"])
+    assert n.tolist() == [len(words_of(text)), 0, 2] and len(words) == n.sum()
+
+
 # Language model
 
 
@@ -410,12 +503,3 @@ def test_flat_trees_as_a_walk():
 
     assert np.allclose(trees.predict(x), [walk(v) for v in x])
     assert ((trees.predict(x) > 0.5) == y).mean() > 0.95
-
-
-def test_word_counts_as_split():
-    import pyarrow as pa
-
-    texts = ["a b  c", "", None, " \n x\ty ", "é ü", "  "]
-    want = [len([w for w in re.split(r"[\t\n\v\f\r ]+", t) if w]) if t else 0 for t in texts]
-    assert word_counts(pa.array(texts)).tolist() == want
-    assert word_counts(pa.array(texts).slice(3, 2)).tolist() == want[3:5]

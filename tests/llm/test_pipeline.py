@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from curatrix.llm import mixing, quality, queries, toxicity
-from tests.llm.test_exact import brute_groups
+from tests.llm.test_exact import brute_groups, brute_tokens, shares
 
 
 @pytest.fixture(scope="module")
@@ -61,9 +61,9 @@ def test_dedup_stage(stages):
 def test_mixing_stage(stages):
     _, before, after = stages[3]
     b, a = pandas(before), pandas(after)
-    n = b.text.str.split().str.len().fillna(0)
+    n = b.doc_id.map(brute_tokens(before))
     words = {s: float(x) for s, x in n.groupby(b.source).sum().items()}
-    p = mixing.probabilities(words, {s: w**mixing.TEMPERATURE for s, w in words.items()}, mixing.SHARE)
+    p = shares(words, {s: w**mixing.TEMPERATURE for s, w in words.items()}, mixing.SHARE)
     for s in words:
         assert abs((a.source == s).sum() - p[s] * (b.source == s).sum()) < 2
     assert set(a.doc_id) <= set(b.doc_id)
@@ -72,13 +72,13 @@ def test_mixing_stage(stages):
 def test_packing_stage(stages):
     _, before, after = stages[4]
     got = after.toPandas()
-    want = {r.doc_id: len(r.text.split()) for r in before.collect() if r.text and r.text.split()}
-    assert got.groupby("doc_id").n_words.sum().to_dict() == want
-    assert got.groupby("bin_id").n_words.sum().max() <= 2048
+    want = {i: n for i, n in brute_tokens(before).items() if n}
+    assert got.groupby("doc_id").n_tokens.sum().to_dict() == want
+    assert got.groupby("bin_id").n_tokens.sum().max() <= 2048
 
 
 def test_run_gives_the_last_stage(spark, small, stages):
-    key = ["doc_id", "piece", "n_words"]
+    key = ["doc_id", "piece", "n_tokens"]
     got = corpus_pipeline.run(spark, small).toPandas()[key].sort_values(key).to_numpy()
     assert np.array_equal(got, stages[-1][2].toPandas()[key].sort_values(key).to_numpy())
 
