@@ -121,6 +121,8 @@ def test_mixing_ignores_sources_without_weight(docs):
 
 def test_near_dedup(docs):
     assert ids(near_dedup.near_duplicate_groups(docs), "doc_id", "group_id") == [(1, 1), (6, 1)]
+    again = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame([(1, "a smaller text than the other")], "doc_id long, text string"))
+    assert ids(near_dedup.near_duplicate_groups(again), "doc_id", "group_id") == [(1, 1), (6, 1)]  # the largest text counts
     kept = near_dedup.without_near_duplicates(docs)
     assert kept.columns == docs.columns and ids(kept, "doc_id") == [(1,), (2,), (3,), (4,), (5,), (7,), (8,)]
 

@@ -259,28 +259,39 @@ def test_targets_above_supply_go_to_the_others(spark):
 # Near-dedup
 
 
-def brute_groups(texts):
-    memo, sets = Memo(), {}
-    for i, t in texts:
-        s = frozenset(near_dedup.shingles(t, near_dedup.SHINGLE, memo).tolist())
-        if s:
-            sets[i] = s
-    parent = {i: i for i in sets}
+def brute_links(texts):
+    """(sizes, near links, excerpt -> holders) over all pairs of texts."""
+    sets = {i: frozenset(x.tolist()) for (i, _), x in zip(texts, near_dedup.sets_of([t for _, t in texts], near_dedup.SHINGLE), strict=True) if len(x)}
+    where, common = defaultdict(list), Counter()
+    for i, x in sets.items():
+        for h in x:
+            where[h].append(i)
+    for ids in where.values():
+        common.update(itertools.combinations(sorted(ids), 2))
+    near, holders = [], defaultdict(set)
+    for (a, b), n in common.items():
+        low, high = sorted((a, b), key=lambda i: (len(sets[i]), i))
+        if n >= near_dedup.CONTAINMENT * len(sets[low]):
+            if len(sets[high]) <= near_dedup.RATIO * len(sets[low]):
+                near.append((a, b))
+            elif len(sets[low]) >= near_dedup.EXCERPT:
+                holders[low].add(high)
+    return {i: len(x) for i, x in sets.items()}, near, holders
+
+
+def joined(links):
+    """The smallest node of each node's component."""
+    parent = {}
 
     def root(i):
-        while parent[i] != i:
+        while parent.setdefault(i, i) != i:
             i = parent[i]
         return i
 
-    for a, b in itertools.combinations(sorted(sets), 2):
-        low, high = sorted((len(sets[a]), len(sets[b])))
-        if high <= near_dedup.RATIO * low and len(sets[a] & sets[b]) >= near_dedup.CONTAINMENT * low:
-            x, y = sorted((root(a), root(b)))
-            parent[y] = x
-    members = defaultdict(list)
-    for i in sets:
-        members[root(i)].append(i)
-    return {i: r for r, m in members.items() if len(m) > 1 for i in m}
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    return {i: root(i) for i in parent}
 
 
 def test_near_dedup_as_brute_force(spark, docs):
@@ -289,12 +300,42 @@ def test_near_dedup_as_brute_force(spark, docs):
     rows_ = []
     for i, t in enumerate(base):
         w = t.split()
-        rows_ += [(10_000 + 10 * i, t), (10_001 + 10 * i, t), (10_002 + 10 * i, " ".join(w[: len(w) * 9 // 10])), (10_003 + 10 * i, " ".join("zz" if j == 7 else x for j, x in enumerate(w))), (10_004 + 10 * i, " ".join(w[: len(w) // 3]))]
+        rows_ += [(10_000 + 10 * i, t), (10_001 + 10 * i, t), (10_002 + 10 * i, " ".join(w[: len(w) * 9 // 10])), (10_003 + 10 * i, " ".join("zz" if j == 7 else x for j, x in enumerate(w))), (10_004 + 10 * i, " ".join(w[: len(w) // 3])), (10_005 + 10 * i, " ".join(w[len(w) // 2 :])), (10_006 + 10 * i, " ".join(w[-(len(w) // 10) :]))]
+    # Two unrelated texts that both hold a third: they stay apart.
+    part = " ".join(f"p{int(x)}" for x in rng.integers(0, 900, 60))
+    rows_ += [(20_000, part), *((20_001 + i, " ".join(f"u{i}x{int(x)}" for x in rng.integers(0, 900, 500)) + " " + part) for i in range(2))]
     both = docs.select("doc_id", "text").union(spark.createDataFrame(rows_, "doc_id long, text string"))
-    want = brute_groups([(r.doc_id, r.text) for r in both.collect()])
-    got = {r.doc_id: r.group_id for r in near_dedup.near_duplicate_groups(both).collect()}
-    assert all(want[i] == want[g] for i, g in got.items())  # nothing is grouped wrongly
-    assert len(got) >= 0.97 * len(want)
+    sizes, near, holders = brute_links([(r.doc_id, r.text) for r in both.collect()])
+    result = near_dedup.near_duplicate_groups(both).collect()
+    got = {r.doc_id: r.group_id for r in result}
+    want, every = joined(near), joined(near + [(a, b) for a, bs in holders.items() for b in bs])
+    assert all(every[i] == every[g] for i, g in got.items()) and all(r.links >= 1 for r in result)  # nothing is grouped wrongly
+    members = defaultdict(list)
+    for i, g in got.items():
+        members[g].append(i)
+    assert all(g == min(m, key=lambda i: (-sizes[i], i)) for g, m in members.items())
+    assert sum(i in got and got[i] == got.get(g) for i, g in want.items()) >= 0.97 * len(want)
+    # Every excerpt, of half, a third or a tenth of a text, is with one of its holders.
+    assert sum(a in got and any(got.get(b) == got[a] for b in bs) for a, bs in holders.items()) >= 0.97 * len(holders) > 5
+    assert {10_045, 10_046, 10_036} <= set(got) and got[10_046] == got[10_040]
+    assert got[20_000] in (20_001, 20_002) and (20_001 in got) != (20_002 in got)
+
+
+def test_hot_buckets_go_by_representatives(spark, monkeypatch):
+    """A group of near copies that all share buckets is held together by a few links a document, not by all pairs."""
+    rng = np.random.default_rng(3)
+    words = [f"h{int(x)}" for x in rng.integers(0, 5_000, 200)]
+    rows_ = []
+    for i in range(150):
+        w = list(words)
+        for j in rng.integers(0, 200, 3):
+            w[j] = f"e{i}x{j}"
+        rows_.append((i, " ".join(w)))
+    seen = []
+    verified = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    got = near_dedup.near_duplicate_groups(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    assert len(got) == 150 and len({r.group_id for r in got}) == 1 and sum(seen) < 150 * 149 / 8
 
 
 def test_bands_reach_the_recall():
