@@ -38,7 +38,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
 
 
 #: Characters that are hashed in one numpy pass, about; a longer text is cut at white space.
-LONG = 1 << 21
+LONG = 1 << 19
 _SPACE = re.compile(r"\s")
 
 
