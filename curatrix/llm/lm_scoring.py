@@ -1,19 +1,20 @@
-"""Language-model scoring with counts of all n-grams over a hashed maximum-entropy model.
+"""Language-model scoring: a hashed maximum-entropy model under counts of all n-grams of the documents.
 
 The base of the next word's probability is p(class | context) * p(place | class, context) * p(word | place).
 The first two factors are softmax models over three hashed context features: the last word, the last
 two words, and the word before the last (a skip), plus a bias. Frequent words have places of their own,
 ordered by frequency and cut into classes of equal size; all other words share the places of the last
-class by hash, and their last factor is the word's count among those of its place, where unseen words
-have the share of the words seen once. The softmax tables have a fixed size; what is learned of words
-and n-grams beyond them is in counts that grow with the documents.
-
-On the base stand the counts of all skip pairs, word pairs and word triples of the documents, each
-interpolated with the one before: (max(count - DISCOUNT, 0) + DISCOUNT * kinds * lower) / total, with
-the total and the different next words (kinds) of the context. DISCOUNT is just below 1, as a document
-is scored by a model that has counted it: what occurs once only occurs in the text itself and hardly
-counts. The count tables are partitioned by context (of frequent contexts, by context and word). Each
-run of documents asks the partitions for its own n-grams and gets their counts back, in PASSES by kind.
+class by hash, and their last factor is the word's share of all words there. A word that occurs nowhere
+else has the share of the words seen once, times its spelling by pairs of characters, so an invented
+word costs by its letters. The softmax tables have a fixed size; the vocabulary and all that is learned
+of n-grams beyond the tables is in counts that grow with the documents.
+
+On the base stand the counts of all words, skip pairs, pairs and triples of the documents, each level
+smoothed by the one before: (count + SMOOTH * lower) / (count of the context + SMOOTH). Every count leaves
+out the occurrence that is being scored, so a text is predicted from all others; what occurs in one text
+alone is unseen, and copies predict each other. The counts are partitioned by hash. Each run of documents
+asks the partitions for its own distinct n-grams (32 bits each within a partition, sent as compressed
+differences) and gets their counts back; no table of counts is ever in one place.
 
 Training passes over all documents once, in ROUNDS shares by hash of doc_id. In a round every task
 starts from the broadcast model and makes Adagrad updates on its documents; it emits its change of
@@ -25,7 +26,6 @@ the weight rows of the features present.
 from __future__ import annotations
 
 import functools
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import id_text
+from curatrix.llm.common import code_points, hashed_words, id_text, mixed_bits, runs_of, text_runs
 from curatrix.session import dropped, stored
 
 CLASSES, WIDTH = 16, 32
@@ -45,56 +45,62 @@ ROUNDS, RATE, STEP = 2, 0.3, 8_192
 #: Rows of a weight table in a block of the exchange.
 BLOCK = 1_024
 PLACES = CLASSES * WIDTH
-DISCOUNT = 0.9999
+#: Weight of the lower level against the counts of a context.
+SMOOTH = 2.0
 #: Words of a run of documents that asks for its counts together, and of a partition of the counts, on average.
-RUN, PART = 500_000, 1_000_000
-#: An n-gram's key: upper bits of the context's hash, lower bits of the word's; its partition takes other bits.
-WORD_BITS = np.uint64(28)
-LOW = np.uint64((1 << 28) - 1)
-#: Contexts from weakest to strongest, as rows of positions(); the context of single words.
-ORDER, NONE = [2, 0, 1], np.uint64(0x5851F42D4C957F2D)
-#: Places in ORDER, after it single words, that are counted in a pass; one pass's requests are on disk at a time.
-PASSES = [[0, FEATURES], [1], [2]]
+RUN, PART = 400_000, 1_000_000
+#: Kinds of n-grams, in the order of the levels.
+SINGLE, SKIP, PAIR, TRIPLE = range(4)
+#: Classes of characters that words are spelled with: letters a to z, digits, 36 of others by hash; 0 is outside a word.
+CHARS = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 @functools.cache
-def _word_chars() -> np.ndarray:
-    r"""Whether each code point belongs to a word, as \w has it."""
-    return np.fromiter((c.isalnum() or c == "_" for c in map(chr, range(0x110000))), np.bool_, 0x110000)
+def _chars() -> np.ndarray:
+    """The class of each code point."""
+    code = np.arange(0x110000)
+    inside = np.fromiter((c.isalnum() or c == "_" for c in map(chr, range(0x110000))), np.bool_, 0x110000)
+    kind = np.where((code >= 97) & (code <= 122), code - 96, np.where((code >= 48) & (code <= 57), 27, 28 + code % 36))
+    return np.where(inside, kind, 0).astype(np.uint8)
 
 
-@functools.cache
-def _powers(n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(np.full(n, 0x9E3779B97F4A7C15, np.uint64))
+def _pairs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of runs of texts: (pairs of character classes, word starts, word ends); pair i is characters i - 1 and i."""
+    for pieces, _ in runs_of([t.lower() if t else None for t in texts]):
+        code, _ = code_points(["", *pieces])
+        kind = _chars()[code]
+        inside = kind > 0
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        yield np.append(np.uint16(0), kind[:-1].astype(np.uint16) * CHARS + kind[1:]), edge[::2], edge[1::2]
 
 
-def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each lower-case word of all texts in turn, words of each text); null texts have none.
+def spelled_pairs(texts: list[str | None]) -> np.ndarray:
+    """How often each pair of character classes occurs in words, their first and last characters against 0."""
+    out = np.zeros(CHARS * CHARS, np.int64)
+    for pair, _, _ in _pairs(texts):
+        out += np.bincount(pair, minlength=CHARS * CHARS)
+    out[0] = 0
+    return out
 
-    The hash is a polynomial in the word's code points, summed for all words in one numpy pass.
-    """
-    low = [t.lower() if t else "" for t in texts]
-    ends = np.cumsum([len(t) + 1 for t in low])
-    code = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = _word_chars()[code]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if len(inside) and inside[0]:
-        edge = np.append(0, edge)  # every text ends with a separator, so edges come in pairs
-    start, size = edge[::2], edge[1::2] - edge[::2]
-    words = np.diff(np.searchsorted(start, ends), prepend=0)
-    if not len(start):
-        return np.empty(0, np.uint64), words
-    first = np.cumsum(size) - size
-    with np.errstate(over="ignore"):
-        power = _powers(1 << int(size.max()).bit_length())
-        chars = code[inside].astype(np.uint64)
-        chars *= power[np.arange(len(chars)) - np.repeat(first, size)]
-        return _mix(np.add.reduceat(chars, first), 1), words
+
+def spelling(counts: np.ndarray) -> np.ndarray:
+    """ln p(character | last character) of each pair."""
+    n = counts.reshape(CHARS, CHARS) + 0.05
+    return np.log(n / n.sum(1, keepdims=True)).ravel()
+
+
+def spelled(texts: list[str | None], table: np.ndarray) -> np.ndarray:
+    """ln of each word's probability by its characters and its end."""
+    out = []
+    for pair, start, end in _pairs(texts):
+        total = np.cumsum(table[pair])
+        out.append(total[end] - total[start - 1])
+    return np.concatenate(out) if out else np.empty(0)
 
 
 class Places:
-    """Targets of hashed words: bits of the hash above the place (class * WIDTH + position), which is their own for frequent words, shared by hash in the last class for others."""
+    """Places (class * WIDTH + position) of hashed words: their own for frequent words, shared by hash in the last class for others."""
 
     def __init__(self, frequent: list[int]):
         hashes = np.array(frequent, np.int64).view(np.uint64)
@@ -103,29 +109,14 @@ class Places:
 
     def of(self, h: np.ndarray) -> np.ndarray:
         other = (CLASSES - 1) * WIDTH + ((h >> np.uint64(40)) % np.uint64(WIDTH)).astype(np.int64)
-        word = (h >> np.uint64(11)).astype(np.int64) * PLACES
         if not len(self.hashes):
-            return word + other
+            return other
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return word + np.where(self.hashes[at] == h, self.order[at], other)
-
-    def heavy(self) -> np.ndarray:
-        """Sorted contexts whose n-grams are spread over all partitions: none, frequent words, starts of texts."""
-        words = np.append(self.hashes, np.array([1, 2], np.uint64))
-        with np.errstate(over="ignore"):
-            start = _mix(np.array([0x9E3779B97F4A7C16], np.uint64), 5)
-            return np.sort(np.concatenate([_mix(words, 3), _mix(words, 7), start, [NONE]]))
-
-
-def _mix(h: np.ndarray, salt: int) -> np.ndarray:
-    h = (h ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
+        return np.where(self.hashes[at] == h, self.order[at], other)
 
 
-def positions(texts: list[str | None], places: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(targets, context hashes of shape (FEATURES, n), words of each text); contexts don't cross texts."""
+def positions(texts: list[str | None], places: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, context hashes of shape (FEATURES, n), word hashes, words of each text); contexts don't cross texts."""
     word, sizes = hashed_words(texts)
     n = len(word)
     context = np.zeros((FEATURES, n), np.uint64)
@@ -137,10 +128,25 @@ def positions(texts: list[str | None], places: Places) -> tuple[np.ndarray, np.n
             last[starts] = before[starts] = 1
             second = starts[starts + 1 < np.append(starts[1:], n)] + 1
             before[second] = 2
-            context[0] = _mix(last, 3)
-            context[1] = _mix(last * np.uint64(0x9E3779B97F4A7C15) + before, 5)
-            context[2] = _mix(before, 7)
-    return places.of(word), context, sizes
+            context[0] = mixed_bits(last, 3)
+            context[1] = mixed_bits(last * _STEP + before, 5)
+            context[2] = mixed_bits(before, 7)
+    return places.of(word), context, word, sizes
+
+
+def grams(word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, whether there is one), each of shape (4, n): the n-grams that end at each word, none across texts."""
+    n = len(word)
+    at = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key, there = np.zeros((4, n), np.uint64), np.empty((4, n), np.bool_)
+    there[SINGLE], there[PAIR] = True, at >= 1
+    there[SKIP] = there[TRIPLE] = at >= 2
+    with np.errstate(over="ignore"):
+        key[SINGLE] = mixed_bits(word, 21)
+        key[SKIP, 2:] = mixed_bits(word[:-2] * _STEP + word[2:], 23)
+        key[PAIR, 1:] = mixed_bits(word[:-1] * _STEP + word[1:], 25)
+        key[TRIPLE, 2:] = mixed_bits((word[:-2] * _STEP + word[1:-1]) * _STEP + word[2:], 27)
+    return key, there
 
 
 def row_max(z: np.ndarray) -> np.ndarray:
@@ -169,7 +175,6 @@ class Model:
 
     def __init__(self, class_w: np.ndarray | None = None, word_w: np.ndarray | None = None):
         self.tables = [np.zeros((CLASS_ROWS, CLASSES), np.float32) if class_w is None else class_w, np.zeros((WORD_ROWS, WIDTH), np.float32) if word_w is None else word_w]
-        self.corpus: Corpus | None = None
 
     @staticmethod
     def rows(target: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,17 +199,10 @@ class Model:
         z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
         return z
 
-    def log_probability(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Of places, by the softmax models alone; of words after train(), by all counts, looked up in a Spark job."""
-        base = self.log_places(target, context)
-        if self.corpus is None or not (target >= PLACES).any():
-            return base
-        return np.where(target < PLACES, base, np.log(self.corpus.shares.chain(target, np.exp(base), *self.corpus.lookup(target, context))))
-
     def log_places(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
         out = np.empty(len(target))
         for a in range(0, len(target), STEP):
-            t, x = target[a : a + STEP] % PLACES, context[:, a : a + STEP]
+            t, x = target[a : a + STEP], context[:, a : a + STEP]
             i = np.arange(len(t))
             pair = zip(self.tables, self.rows(t, x), (t // WIDTH, t % WIDTH), strict=True)
             out[a : a + STEP] = sum(np.log(self.softmax(table, rows)[i, y].astype(float)) for table, rows, y in pair)
@@ -222,7 +220,7 @@ class Trainer:
 
     def update(self, target: np.ndarray, context: np.ndarray) -> None:
         for a in range(0, len(target), STEP):
-            t, x = target[a : a + STEP] % PLACES, context[:, a : a + STEP]
+            t, x = target[a : a + STEP], context[:, a : a + STEP]
             i = np.arange(len(t))
             for f, (table, rows, y) in enumerate(zip(self.model.tables, self.model.rows(t, x), (t // WIDTH, t % WIDTH), strict=True)):
                 g = self.model.softmax(table, rows)
@@ -243,34 +241,24 @@ class Trainer:
                     yield f, b // BLOCK, part.tobytes(), ((new[b : b + BLOCK] - old[b : b + BLOCK]) * part[:, None]).tobytes()
 
 
-def chunks(texts: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
-    """(start, texts) of runs of about that many characters; a longer text is a run of its own."""
-    part, start, total = [], 0, 0
-    for i, t in enumerate(texts.to_pylist()):
-        part.append(t)
-        total += len(t) if t else 0
-        if total >= chars:
-            yield start, part
-            part, start, total = [], i + 1, 0
-    if part:
-        yield start, part
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word hash, n) of each batch."""
+    """(kind, w, n): 0 with the hash and occurrences of each word of a run, 1 with each pair of characters and the task's occurrences."""
+    spelled_ = np.zeros(CHARS * CHARS, np.int64)
     for batch in batches:
-        seen = [hashed_words(part)[0] for _, part in chunks(batch.column(0))]
-        if seen:
-            w, n = np.unique(np.concatenate(seen), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["w", "n"])
+        for _, part in text_runs(batch.column(0)):
+            w, n = np.unique(hashed_words(part)[0], return_counts=True)
+            spelled_ += spelled_pairs(part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(w), np.int32)), pa.array(w.view(np.int64)), pa.array(n)], ["kind", "w", "n"])
+    used = np.flatnonzero(spelled_)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), np.int32)), pa.array(used), pa.array(spelled_[used])], ["kind", "w", "n"])
 
 
 def _train(model, frequent: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, trainer = Places(frequent), Trainer(Model(*model.value))
         for batch in batches:
-            for _, part in chunks(batch.column(0)):
-                target, context, _ = positions(part, places)
+            for _, part in text_runs(batch.column(0)):
+                target, context, _, _ = positions(part, places)
                 trainer.update(target, context)
         for f, b, n, change in trainer.change():
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((f, pa.int32()), (b, pa.int32()), (n, pa.binary()), (change, pa.binary()))], ["f", "b", "n", "change"])
@@ -285,123 +273,52 @@ def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"f": pdf.f.iloc[:1], "b": pdf.b.iloc[:1], "mean": [mean.tobytes()]})
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of x, first all lowest ones and so on; counts are mostly small and are compressed, keys hardly would be."""
-    data = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-    return data if x.itemsize == 8 else zlib.compress(data, 1)
-
-
-def _unplaned(data: bytes, kind) -> np.ndarray:
-    if np.dtype(kind).itemsize < 8:
-        data = zlib.decompress(data)
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
-def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+def _packed(x: np.ndarray) -> bytes:
+    """The bytes of 32-bit numbers, first all lowest ones and so on, compressed: most numbers are small."""
+    return zlib.compress(np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
-def gram_keys(target: np.ndarray, context: np.ndarray, heavy: np.ndarray, parts: int, kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(key, partition) of the n-grams of these kinds at each position, one kind after the other."""
-    word = target.astype(np.uint64) // np.uint64(PLACES)
-    keys, homes = [], []
-    for x in (context[ORDER[k]] if k < FEATURES else np.full(len(word), NONE) for k in kinds):
-        keys.append((x & ~LOW) | (word & LOW))
-        with np.errstate(over="ignore"):
-            homes.append((np.where(_among(x, heavy), x ^ _mix(word, 13), x) & LOW) % np.uint64(parts))
-    return np.concatenate(keys), np.concatenate(homes).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def distinct_grams(key: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, partition, count) by partition and key, and where each of the given ones is among them."""
-    by = np.argsort(key)
-    by = by[np.argsort(part[by], kind="stable")]
-    k, p = key[by], part[by]
-    new = np.ones(len(k), np.bool_)
-    new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
-    where = np.empty(len(k), np.int64)
-    where[by] = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    return k[first], p[first], np.diff(np.append(first, len(k))), where
+def distinct_grams(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(partition << 32 | 32 bits of hash, sorted, distinct; where each given one is among them; how often it occurs)."""
+    flat = ((key >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
+    return np.unique(flat, return_inverse=True, return_counts=True)
 
 
-def _requests(run: int, key: np.ndarray, part: np.ndarray, count: np.ndarray) -> pd.DataFrame:
+def _requests(run: int, asked: np.ndarray, count: np.ndarray) -> pd.DataFrame:
     """A row for each partition asked: the sorted keys as differences, and their counts in the run."""
+    part = asked >> np.uint64(32)
     cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else [0]
     pieces = list(zip(cuts, cuts[1:], strict=False))
-    return pd.DataFrame({"part": [int(part[a]) for a, _ in pieces], "run": np.full(len(pieces), run, np.int64), "keys": [_planes(np.diff(key[a:b], prepend=np.uint64(0))) for a, b in pieces], "counts": [_planes(count[a:b].astype(np.uint32)) for a, b in pieces]})
+    low = asked.astype(np.uint32)
+    return pd.DataFrame({"part": [int(part[a]) for a, _ in pieces], "run": np.full(len(pieces), run, np.int64), "keys": [_packed(np.diff(low[a:b], prepend=np.uint32(0))) for a, b in pieces], "counts": [_packed(count[a:b]) for a, b in pieces]})
 
 
-def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["doc_id", "text"], kind="stable")
+def _ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[str | None]]:
+    pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
+    return pdf, [t if isinstance(t, str) else None for t in pdf.text]
 
 
-def _ask(frequent: list[int], parts: int, kinds: list[int]):
+def _ask(parts: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        places = Places(frequent)
-        target, context, _ = positions(_texts(_ordered(pdf)), places)
-        key, part, count, _ = distinct_grams(*gram_keys(target, context, places.heavy(), parts, kinds))
-        return _requests(int(pdf.run.iloc[0]), key, part, count)
+        _, texts = _ordered(pdf)
+        key, there = grams(*hashed_words(texts))
+        asked, _, count = distinct_grams(key[there], parts)
+        return _requests(int(pdf.run.iloc[0]), asked, count)
 
     return run
 
 
-def _texts(pdf: pd.DataFrame) -> list[str | None]:
-    return [t if isinstance(t, str) else None for t in pdf.text]
-
-
-def _starts(x: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
-
-
-def _answer(heavy: np.ndarray):
-    """To each run, for the keys it asked for in turn: count, total of the context, its different next words.
-
-    Of a heavy context the last two are the partition's share; a row of run -1 has them to be added up.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        with np.errstate(over="ignore"):
-            asked = [np.cumsum(_unplaned(k, np.uint64), dtype=np.uint64) for k in pdf["keys"]]
-        n = np.concatenate([_unplaned(c, np.uint32) for c in pdf["counts"]])
-        key = np.concatenate(asked)
-        by = np.argsort(key)
-        first = _starts(k := key[by])
-        count = np.add.reduceat(n[by], first, dtype=np.int64)
-        gram = np.empty(len(key), np.int64)
-        gram[by] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-        context = k[first] >> WORD_BITS
-        start = _starts(context)
-        total, kinds = np.add.reduceat(count, start), np.add.reduceat((count > 0).astype(np.int64), start)
-        of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(first))))
-        flat = np.stack([count, total[of], kinds[of]]).astype(np.uint32)[:, gram]
-        ends = np.cumsum([0, *map(len, asked)])
-        shared = np.flatnonzero(_among(context[start], heavy >> WORD_BITS))
-        sums = np.stack([context[start][shared].view(np.int64), total[shared], kinds[shared]])
-        return pd.DataFrame({"run": [*pdf.run, -1], "part": int(pdf.part.iloc[0]), "answer": [*(_planes(flat[:, a:b].ravel()) for a, b in zip(ends, ends[1:], strict=False)), sums.tobytes()]})
-
-    return run
-
-
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for data in pdf.answer:
-            yield pd.DataFrame(dict(zip(("context", "total", "kinds"), np.frombuffer(data, np.int64).reshape(3, -1), strict=True)))
-
-
-def heavy_totals(answers: DataFrame) -> np.ndarray:
-    """(context, total, kinds) of the heavy contexts, a fixed number, over all partitions."""
-    rows = answers.where("run = -1").select("answer").mapInPandas(_shared, "context long, total long, kinds long").groupBy("context").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).orderBy("context").collect()
-    return np.array([tuple(r) for r in rows], np.int64).reshape(-1, 3).T
-
-
-def answered(answers: list[bytes], key: np.ndarray, where: np.ndarray, heavy: np.ndarray, rows: int) -> list[np.ndarray]:
-    """Count, total and kinds, each of as many rows as kinds of n-grams were asked, from the answers in order of partition."""
-    own = np.concatenate([_unplaned(a, np.uint32).reshape(3, -1) for a in answers], 1).astype(np.int64)
-    context = (key >> WORD_BITS).astype(np.int64)
-    at = np.minimum(np.searchsorted(heavy[0], context), heavy.shape[1] - 1)
-    own[1:] = np.where(heavy[0][at] == context, heavy[1:, at], own[1:])
-    return [x[where].reshape(rows, -1) for x in own]
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """To each run, for the keys it asked for in turn, their counts in all runs."""
+    asked = [np.cumsum(_unpacked(k), dtype=np.uint32) for k in pdf["keys"]]
+    _, where = np.unique(np.concatenate(asked), return_inverse=True)
+    total = np.bincount(where, np.concatenate([_unpacked(c) for c in pdf["counts"]])).astype(np.uint32)
+    ends = np.cumsum([0, *map(len, asked)])
+    return pd.DataFrame({"run": pdf.run, "part": pdf.part, "answer": [_packed(total[where[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]})
 
 
 class Shares:
@@ -412,26 +329,35 @@ class Shares:
         for place, total, once in rows:
             self.total[place], self.once[place] = total, max(1, once)
 
-    def chain(self, target: np.ndarray, place_p: np.ndarray, count: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        place = target % PLACES
-        i = np.maximum(place - (CLASSES - 1) * WIDTH, 0)
-        p = place_p * np.where(place < (CLASSES - 1) * WIDTH, 1.0, np.where(count[-1] > 0, count[-1], self.once[i]) / (self.total[i] + self.once[i]))
-        for c, n, k in zip(count[:-1], total[:-1], kinds[:-1], strict=True):
-            p = np.where(n > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * k * p) / np.maximum(n, 1), p)
-        return p
 
+def chain(place: np.ndarray, place_p: np.ndarray, ln_spelled: np.ndarray, counts: np.ndarray, there: np.ndarray, shares: Shares) -> np.ndarray:
+    """Probability of each word given those before it, from the other occurrences; counts: (4, n) of its n-grams, itself included."""
+    others = np.maximum(counts.astype(float) - 1, 0)
+    i = np.maximum(place - (CLASSES - 1) * WIDTH, 0)
+    share = np.where(others[SINGLE] > 0, others[SINGLE], shares.once[i] * np.exp(np.maximum(ln_spelled, -600))) / (shares.total[i] + shares.once[i])
+    p = place_p * np.where(place < (CLASSES - 1) * WIDTH, 1.0, share)
+    before = np.zeros_like(others)
+    # How often the context occurs elsewhere: the n-gram that ended one or two words ago.
+    before[SKIP, 2:], before[PAIR, 1:], before[TRIPLE, 1:] = others[SINGLE, :-2], others[SINGLE, :-1], others[PAIR, :-1]
+    for level in (SKIP, PAIR, TRIPLE):
+        total = np.maximum(before[level], others[level])
+        p = np.where(there[level], (others[level] + SMOOTH * p) / (total + SMOOTH), p)
+    return p
 
-def _score(model, frequent: list[int], parts: int, heavy: np.ndarray, shares: Shares):
+
+def _score(model, frequent: list[int], parts: int, shares: Shares, table: np.ndarray):
     def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        places, final, pdf = Places(frequent), Model(*model.value), _ordered(pdf)
-        target, context, sizes = positions(_texts(pdf), places)
+        final = Model(*model.value)
+        pdf, texts = _ordered(pdf)
+        place, context, word, sizes = positions(texts, Places(frequent))
         log_p = np.zeros(len(sizes))
-        if len(target):
-            found = np.empty((3, FEATURES + 1, len(target)), np.int64)
-            for turn, kinds in enumerate(PASSES):
-                key, _, _, where = distinct_grams(*gram_keys(target, context, places.heavy(), parts, kinds))
-                found[:, kinds] = answered(list(answers[answers.turn == turn].sort_values("part").answer), key, where, heavy, len(kinds))
-            total = np.concatenate([[0.0], np.cumsum(np.log(shares.chain(target, np.exp(final.log_places(target, context)), *found)))])
+        if len(word):
+            key, there = grams(word, sizes)
+            _, where, _ = distinct_grams(key[there], parts)
+            counts = np.zeros(key.shape, np.int64)
+            counts[there] = np.concatenate([_unpacked(a) for a in answers.sort_values("part").answer])[where]
+            p = chain(place, np.exp(final.log_places(place, context)), spelled(texts, table), counts, there, shares)
+            total = np.concatenate([[0.0], np.cumsum(np.log(np.maximum(p, 1e-300)))])
             ends = np.cumsum(sizes)
             log_p = total[ends] - total[ends - sizes]
         bits = np.divide(-log_p, sizes * np.log(2), out=np.zeros(len(sizes)), where=sizes > 0)
@@ -440,63 +366,26 @@ def _score(model, frequent: list[int], parts: int, heavy: np.ndarray, shares: Sh
     return run
 
 
-_ASK, _TOLD = "part int, run long, keys binary, counts binary", "run long, part int, answer binary"
-
-
-class Corpus:
-    """The documents in runs by hash of doc_id, and the counts of their n-grams."""
-
-    def __init__(self, texts: DataFrame, frequent: list[int], words: int, shares: Shares):
-        self.frequent, self.shares = frequent, shares
-        self.parts = max(1, -(-words // PART))
-        self.heavy = Places(frequent).heavy()
-        self.runs = texts.withColumn("run", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(max(1, -(-words // RUN)))))
-
-    def answers(self, probes: list[pd.DataFrame] | None = None) -> DataFrame:
-        """What _answer() gives in each pass (turn), to the runs or to the probes' run alone."""
-        spark, told = self.runs.sparkSession, []
-        for turn, kinds in enumerate(PASSES):
-            asked = self.runs.groupBy("run").applyInPandas(_ask(self.frequent, self.parts, kinds), _ASK)
-            if probes:
-                asked = asked.union(spark.createDataFrame(probes[turn], _ASK))
-            told.append(stored(asked.groupBy("part").applyInPandas(_answer(self.heavy), _TOLD), "answers"))
-            del asked
-            # Else the pass's shuffle files, several times the text, stay until the driver happens to collect its garbage.
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-        return functools.reduce(DataFrame.union, [t.withColumn("turn", F.lit(i)) for i, t in enumerate(told)])
-
-    def lookup(self, target: np.ndarray, context: np.ndarray) -> list[np.ndarray]:
-        """Count, total and kinds, by ORDER and single words last, of any few words in their contexts: they ask with counts of 0."""
-        wanted = [distinct_grams(*gram_keys(target, context, self.heavy, self.parts, kinds)) for kinds in PASSES]
-        answers = self.answers([_requests(-2, key, part, count * 0) for key, part, count, _ in wanted])
-        heavy, out = heavy_totals(answers), np.empty((3, FEATURES + 1, len(target)), np.int64)
-        mine = answers.where("run = -2").orderBy("turn", "part").collect()
-        for turn, (kinds, (key, _, _, where)) in enumerate(zip(PASSES, wanted, strict=True)):
-            out[:, kinds] = answered([r.answer for r in mine if r.turn == turn], key, where, heavy, len(kinds))
-        return list(out)
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(w, n): hash and occurrences of every word of all documents."""
-    return texts.select("text").mapInArrow(_count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-
-
-def counted(texts: DataFrame) -> tuple[list[int], int, Shares]:
-    """(hashes of the most frequent words, as many as have places, equal counts by hash; words in all; shares of the other places)."""
-    counts = stored(word_counts(texts), "words")
-    frequent = [r.w for r in counts.orderBy(F.desc("n"), "w").limit((CLASSES - 1) * WIDTH).collect()]
-    words = counts.agg(F.sum("n")).first()[0] or 0
+_ASK, _TOLD = "part long, run long, keys binary, counts binary", "run long, part long, answer binary"
+
+
+def counted(texts: DataFrame) -> tuple[list[int], int, Shares, np.ndarray]:
+    """(hashes of the most frequent words, as many as have places, equal counts by hash; words in all; shares of the other places; spelling)."""
+    counts = stored(texts.select("text").mapInArrow(_count, "kind int, w long, n long").groupBy("kind", "w").agg(F.sum("n").alias("n")), "words")
+    words = counts.where("kind = 0").select("w", "n")
+    frequent = [r.w for r in words.orderBy(F.desc("n"), "w").limit((CLASSES - 1) * WIDTH).collect()]
+    total = words.agg(F.sum("n")).first()[0] or 0
     place = F.expr(f"shiftrightunsigned(w, 40) % {WIDTH}").alias("place")
-    others = counts.where(~F.col("w").isin(frequent)).groupBy(place).agg(F.sum("n"), F.sum((F.col("n") == 1).cast("long"))).collect()
+    others = words.where(~F.col("w").isin(frequent)).groupBy(place).agg(F.sum("n"), F.sum((F.col("n") == 1).cast("long"))).collect()
+    pairs = np.zeros(CHARS * CHARS)
+    for r in counts.where("kind = 1").collect():  # CHARS * CHARS rows at most
+        pairs[r.w] = r.n
     dropped(counts)
-    return frequent, words, Shares([tuple(r) for r in others])
+    return frequent, total, Shares([tuple(r) for r in others]), spelling(pairs)
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, list[int]]:
-    texts = id_text(docs)
-    context = docs.sparkSession.sparkContext
-    frequent, words, shares = counted(texts)
+def train(texts: DataFrame, frequent: list[int], rounds: int = ROUNDS) -> Model:
+    context = texts.sparkSession.sparkContext
     model = Model()
     for r in range(rounds):
         share = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("text")
@@ -505,21 +394,24 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, list[int]]:
         for row in changes.groupBy("f", "b").applyInPandas(_sum, "f int, b int, mean binary").collect():
             block = model.tables[row.f][row.b * BLOCK : (row.b + 1) * BLOCK]
             block += np.frombuffer(row.mean, np.float32).reshape(block.shape)
-    model.corpus = Corpus(texts, frequent, words, shares)
-    return model, frequent
+    return model
 
 
 def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_words, log_p, bits_per_word) for every row that has a doc_id, by a model of docs itself.
 
-    log_p: natural logarithm of the document's probability, word by word, the end of a text not counted. Null and
-    empty texts and texts without a word have 0 words, log_p 0 and null bits_per_word. Repeated rows
-    are trained on and scored once each. Empty tables give no rows. Only doc_id and text are read.
+    log_p: natural logarithm of the document's probability, word by word, each word predicted from all its
+    other occurrences in docs; the end of a text isn't counted. Null and empty texts and texts without a
+    word have 0 words, log_p 0 and null bits_per_word. Repeated rows are trained on and scored once each,
+    and predict each other. Empty tables give no rows. Only doc_id and text are read.
     """
-    model, frequent = train(docs, rounds)
-    corpus = model.corpus
-    answers = corpus.answers()
-    heavy = heavy_totals(answers)
+    texts = id_text(docs)
+    frequent, words, shares, table = counted(texts)
+    model = train(texts, frequent, rounds)
+    parts = max(1, -(-words // PART))
+    runs = texts.withColumn("run", F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(max(1, -(-words // RUN)))))
+    asked = runs.groupBy("run").applyInPandas(_ask(parts), _ASK)
+    answers = stored(asked.groupBy("part").applyInPandas(_answer, _TOLD), "answers")
     final = docs.sparkSession.sparkContext.broadcast(tuple(model.tables))
-    score = _score(final, frequent, corpus.parts, heavy, corpus.shares)
-    return corpus.runs.groupBy("run").cogroup(answers.where("run >= 0").groupBy("run")).applyInPandas(score, "doc_id long, n_words long, log_p double, bits_per_word double")
+    score = _score(final, frequent, parts, shares, table)
+    return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInPandas(score, "doc_id long, n_words long, log_p double, bits_per_word double")

@@ -428,54 +428,57 @@ def test_long_texts_are_cut_between_pretokens(monkeypatch):
 # Language model
 
 
-def test_lm_is_a_distribution_and_learns(spark, docs):
-    model, frequent = lm_scoring.train(docs)
-    places = lm_scoring.Places(frequent)
-    _, context, _ = lm_scoring.positions(["the quick brown fox"], places)
+def test_lm_places_are_a_distribution(spark, docs):
+    texts = docs.select("doc_id", "text")
+    frequent, words, shares, table = lm_scoring.counted(texts)
+    model = lm_scoring.train(texts, frequent)
+    _, context, _, _ = lm_scoring.positions(["the quick brown fox"], lm_scoring.Places(frequent))
     total = np.zeros(4)
-    for place in range(lm_scoring.CLASSES * lm_scoring.WIDTH):
-        total += np.exp(model.log_probability(np.full(4, place), context))
+    for place in range(lm_scoring.PLACES):
+        total += np.exp(model.log_places(np.full(4, place), context))
     assert np.allclose(total, 1, atol=1e-3)
-    got = [r for r in lm_scoring.lm_scores(docs).collect() if r.n_words]
-    blank = math.log2(lm_scoring.CLASSES * lm_scoring.WIDTH)
-    mean = -sum(r.log_p for r in got) / math.log(2) / sum(r.n_words for r in got)
-    assert mean < 0.8 * blank
-    one = next(r for r in docs.collect() if r.text)
-    t, c, _ = lm_scoring.positions([one.text], places)
-    assert abs(next(r.log_p for r in got if r.doc_id == one.doc_id) - model.log_probability(t, c).sum()) < 1e-2
-
-
-def test_lm_counts_every_word_and_gram(spark, monkeypatch):
-    """Words beyond the places, pairs and triples count apart; all words and the unseen ones sum to one; invented words score low."""
+    assert words == sum(len(words_of(r.text)) for r in docs.collect())
+    assert np.allclose(np.exp(table).reshape(lm_scoring.CHARS, -1).sum(1), 1)
+    # Words of one place and class share it out between them and the unseen ones.
+    known = Counter(w for r in docs.collect() for w in words_of(r.text))
+    h = lm_scoring.hashed_words(list(known))[0]
+    place = lm_scoring.Places(frequent).of(h) - (lm_scoring.CLASSES - 1) * lm_scoring.WIDTH
+    n = np.array(list(known.values()))
+    for i in range(lm_scoring.WIDTH):
+        assert n[place == i].sum() == shares.total[i] and max(1, (n[place == i] == 1).sum()) == shares.once[i]
+
+
+def test_lm_scores_as_brute_force(spark, monkeypatch):
+    """Counts of all words, skip pairs, pairs and triples less the scored one, in plain Python, over the same softmax model."""
     monkeypatch.setattr(lm_scoring, "RUN", 3_000)
     monkeypatch.setattr(lm_scoring, "PART", 5_000)
     rng = np.random.default_rng(6)
     texts = [" ".join(f"w{min(int(x), 900)}" for x in rng.zipf(1.2, 200)) for _ in range(100)]
-    invented = " ".join(f"q{i}" for i in range(200))
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    invented = " ".join("".join(rng.choice(letters, 9)) for _ in range(200))
     twin = " ".join(f"z{i}" for i in range(200))
     texts += [invented, twin, twin]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.bits_per_word for r in lm_scoring.lm_scores(df).collect()}
-    assert got[100] > max(got[i] for i in range(100)) and got[101] < 2 and got[102] < 2
-    model, frequent = lm_scoring.train(df)
-    places = lm_scoring.Places(frequent)
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(df).collect()}
+    assert got[100].bits_per_word > 2 * max(got[i].bits_per_word for i in range(100)) and got[101].bits_per_word < 3 and got[102].bits_per_word < 3
+    frequent, _, shares, table = lm_scoring.counted(df)
+    model = lm_scoring.train(df, frequent)
     split = [words_of(t) for t in texts]
-    vocabulary = sorted({w for t in split for w in t})
-    for a, b in (("w1", "w2"), ("w1", "w30"), ("z4", "z5"), ("new", "word")):
-        target, context, _ = lm_scoring.positions([f"{a} {b} {w}" for w in vocabulary], places)
-        count, total, kinds = (x[:, 2::3] for x in model.corpus.lookup(target, context))
-        grams = [[(t[i - 2], t[i]) for t in split for i in range(2, len(t))], list(p for t in split for p in zip(t, t[1:])), [p for t in split for p in zip(t, t[1:], t[2:])]]
-        for o, c in enumerate(((a,), (b,), (a, b))):
-            want = Counter(g[-1] for g in grams[o] if g[:-1] == c)
-            assert count[o].tolist() == [want[w] for w in vocabulary] and set(total[o]) == {sum(want.values())} and set(kinds[o]) == {len(want)}
-        assert count[3].tolist() == [sum(t.count(w) for t in split) for w in vocabulary]
-        p = np.exp(model.log_probability(target, context)[2::3]).sum()
-        lower = 1.0
-        for n, k in zip(total[:3, 0], kinds[:3, 0]):
-            lower *= lm_scoring.DISCOUNT * k / n if n else 1
-        shares, last = model.corpus.shares, np.arange((lm_scoring.CLASSES - 1) * lm_scoring.WIDTH, lm_scoring.PLACES)
-        unseen = (np.exp(model.log_places(last, np.repeat(context[:, 2:3], len(last), 1))) * shares.once / (shares.total + shares.once)).sum()
-        assert len(frequent) == (lm_scoring.CLASSES - 1) * lm_scoring.WIDTH and abs(p + lower * unseen - 1) < 1e-3
+    n = Counter(g for t in split for i in range(len(t)) for g in [(t[i],), ("skip", *t[i - 2 : i], t[i])[:2] + (t[i],) if i >= 2 else None, tuple(t[i - 1 : i + 1]) if i else None, tuple(t[i - 2 : i + 1]) if i >= 2 else None] if g)
+    for d in (0, 57, 100, 101):
+        t = split[d]
+        place, context, _, _ = lm_scoring.positions([texts[d]], lm_scoring.Places(frequent))
+        base, letters_ = np.exp(model.log_places(place, context)), lm_scoring.spelled([texts[d]], table)
+        want = 0.0
+        for i, w in enumerate(t):
+            p, j = base[i], place[i] - (lm_scoring.CLASSES - 1) * lm_scoring.WIDTH
+            if j >= 0:
+                p *= (n[(w,)] - 1 or shares.once[j] * math.exp(letters_[i])) / (shares.total[j] + shares.once[j])
+            levels = ([(n[("skip", t[i - 2], w)], n[(t[i - 2],)])] if i >= 2 else []) + ([(n[(t[i - 1], w)], n[(t[i - 1],)])] if i else []) + ([(n[tuple(t[i - 2 : i + 1])], n[(t[i - 2], t[i - 1])])] if i >= 2 else [])
+            for c, total in levels:
+                p = (c - 1 + 2 * p) / (max(total, c) - 1 + 2)
+            want += math.log(p)
+        assert abs(got[d].log_p - want) < 0.5 + 1e-3 * abs(want)  # the gradient rounds sum in any order
 
 
 def test_gradient_sums_as_naive():
