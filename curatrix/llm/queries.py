@@ -42,7 +42,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_duplicate_pairs(read(spark, sf_dir, "embeddings"))
+    return embedding_dedup.near_duplicate_classes(read(spark, sf_dir, "embeddings"))
 
 
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

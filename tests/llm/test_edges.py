@@ -103,8 +103,8 @@ def test_tokens(docs):
 
 
 def test_embeddings(vectors):
-    got = ids(embedding_dedup.near_duplicate_pairs(vectors), "vec_a", "vec_b")
-    assert got == [(1, 2), (1, 3), (2, 3)]
+    got = ids(embedding_dedup.near_duplicate_classes(vectors), "vec_id", "class_id", "links")
+    assert got == [(1, 1, 2), (2, 1, 2), (3, 1, 1)]  # 1 and 2 are equal, and one of them is linked to 3
 
 
 def test_mixing(docs):
@@ -129,7 +129,7 @@ def test_near_dedup(docs):
 
 @pytest.mark.parametrize("run", [
     lambda d, l, i, v: licenses.license_spans(d), lambda d, l, i, v: quality.quality(d, l), lambda d, l, i, v: exact_topk.top_documents(d, i), lambda d, l, i, v: packing.pack(d),
-    lambda d, l, i, v: toxicity.toxicity(d, l), lambda d, l, i, v: lm_scoring.lm_scores(d), lambda d, l, i, v: token_counts.token_counts(d), lambda d, l, i, v: embedding_dedup.near_duplicate_pairs(v),
+    lambda d, l, i, v: toxicity.toxicity(d, l), lambda d, l, i, v: lm_scoring.lm_scores(d), lambda d, l, i, v: token_counts.token_counts(d), lambda d, l, i, v: embedding_dedup.near_duplicate_classes(v),
     lambda d, l, i, v: mixing.mixed(d), lambda d, l, i, v: near_dedup.near_duplicate_groups(d), lambda d, l, i, v: near_dedup.without_near_duplicates(d), lambda d, l, i, v: toxicity.without_toxic(d, l),
 ])
 def test_empty_tables(run, docs, labels, items, vectors):

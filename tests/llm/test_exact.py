@@ -350,40 +350,50 @@ def test_bands_reach_the_recall():
 # Embeddings
 
 
-@pytest.mark.parametrize("threshold", [0.9, 0.35])
-def test_embedding_pairs_as_brute_force(spark, threshold):
-    rng = np.random.default_rng(4)
-    x = rng.standard_normal((900, 16))
-    x[300:420] = x[0] + 0.05 * rng.standard_normal((120, 16))  # lists of ten are saturated here
-    x[420:450] = x[1] + 0.2 * rng.standard_normal((30, 16))
-    if threshold < 0.5:
-        x = x[:150]
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+def vectors_with_copies():
+    """6,000 vectors: a hot class, a class beside it that hangs on by one link, 400 isolated pairs, equal vectors."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def off(v, c):
+        noise = rng.standard_normal(v.shape)
+        noise -= (noise * v).sum(-1, keepdims=True) * v
+        return c * v + np.sqrt(1 - c * c) * noise / np.linalg.norm(noise, axis=-1, keepdims=True)
+
+    x[1_000:1_400] = off(x[:400], rng.uniform(0.905, 0.95, (400, 1)))
+    x[2_000:2_500] = x[1_999] + 0.01 * rng.standard_normal((500, 64))
+    x[2_600:2_700] = off(x[1_999], 0.93) + 0.01 * rng.standard_normal((100, 64))
+    x[3_000:3_040] = x[2_999]
+    return x
+
+
+def brute_classes(x, threshold):
     u = x.astype(np.float32).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     a, b = np.nonzero(np.triu(u @ u.T >= threshold, 1))
-    want = set(zip(a.tolist(), b.tolist()))
-    got = {(r.vec_a, r.vec_b) for r in embedding_dedup.near_duplicate_pairs(df, threshold).collect()}
-    assert len(got - want) <= 1 and len(got & want) >= 0.95 * len(want)
+    return joined(zip(a.tolist(), b.tolist())), Counter([*a.tolist(), *b.tolist()])
 
 
-def test_isolated_embedding_pairs_beside_a_hot_group(spark, monkeypatch):
-    """A small audit, so that nearly all pairs come from the lists; one large group must not outvote the pairs."""
-    monkeypatch.setattr(embedding_dedup, "AUDIT", 100)
-    monkeypatch.setattr(embedding_dedup, "SPARSE", 60, raising=False)
-    rng = np.random.default_rng(8)
-    x = rng.standard_normal((4_000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    noise = rng.standard_normal((4_000, 64))
-    noise -= (noise * x).sum(1, keepdims=True) * x
-    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
-    c = rng.uniform(0.905, 0.95, (4_000, 1))
-    near = c * x + np.sqrt(1 - c * c) * noise
-    x[1_000:1_400] = near[:400]
-    x[2_000:2_500] = x[1_999] + 0.01 * rng.standard_normal((500, 64))
+def test_embedding_classes_as_brute_force(spark):
+    """Without the audit: the descent alone must find the classes."""
+    x = vectors_with_copies()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want, links = brute_classes(x, 0.9)
+    got = {r.vec_id: (r.class_id, r.links) for r in embedding_dedup.near_duplicate_classes(df, audit=0).collect()}
+    assert set(got) <= set(want) and sum(got.get(i, (None,))[0] == c for i, c in want.items()) >= 0.93 * len(want)
+    assert got[2_650][0] == got[2_100][0] == 1_999 and got[3_001] == (2_999, 40)
+    assert all(1 <= n <= links[i] for i, (_, n) in got.items())
+    assert all(n == links[i] for i, (c, n) in got.items() if i < 400)
+
+
+def test_embedding_audit_measures_and_adds_nothing(spark, monkeypatch):
+    x = vectors_with_copies()[:2_600]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = {(r.vec_a, r.vec_b) for r in embedding_dedup.near_duplicate_pairs(df, neighbours=2).collect()}
-    assert sum((i, 1_000 + i) in got for i in range(400)) >= 0.93 * 400
+    monkeypatch.setattr(embedding_dedup, "_best", lambda ids, classes, x, k: (ids[:0], ids[:0], np.empty(0, np.float32)))
+    assert embedding_dedup.near_duplicate_classes(df, audit=0).count() == 0
+    with pytest.raises(RuntimeError, match="near duplicates"):
+        embedding_dedup.near_duplicate_classes(df, neighbours=2_000)
 
 
 # Token counts
