@@ -59,9 +59,11 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, k: i
     """(doc_id, license, start_word, end_word, votes, covered) of each verified span, end exclusive.
 
     covered: share of the template's words in at least one match, `coverage` or more. votes counts
-    matches. Diagonals at most `shift` apart in one document and template are one span. Texts that
-    are null, empty or shorter than k words have no spans. Rows that repeat a doc_id with equal texts
-    count once. Rows without doc_id are left out. Empty tables and empty templates give no rows.
+    matches. Diagonals at most `shift` apart in one document and template are one span; if that is longer
+    than twice the template, it is cut where the template begins anew (a notice repeated in a row) and each
+    part is verified. Texts that are null, empty or shorter than k words have no spans. The matches of rows
+    that repeat a doc_id are pooled, equal ones counting once. Rows without doc_id are left out. Empty
+    tables and empty templates give no rows.
     """
     spark = docs.sparkSession
     rows = template_grams(TEMPLATES if templates is None else templates, k)
@@ -73,11 +75,15 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, k: i
     diagonals = hits.withColumn("diagonal", F.col("pos") - F.col("tpos")).groupBy("doc_id", "license", "words", "diagonal").agg(F.collect_set("tpos").alias("tpos"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     line = Window.partitionBy("doc_id", "license").orderBy("diagonal")
     gap = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= shift, 0).otherwise(1)
+    matches = F.transform("tpos", lambda j: F.struct((F.col("diagonal") + j).alias("pos"), j.alias("tpos")))
     spans = diagonals.withColumn("gap", gap).withColumn("span", F.sum("gap").over(line)).groupBy("doc_id", "license", "words", "span").agg(
-        F.array_distinct(F.flatten(F.collect_list("tpos"))).alias("tpos"), F.sum(F.size("tpos")).alias("votes"), F.min("low").alias("low"), F.max("high").alias("high")
+        F.array_sort(F.flatten(F.collect_list(matches))).alias("m"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("tpos", lambda j: F.sequence(j, j + (k - 1))))))
-    out = spans.select("doc_id", "license", F.col("low").cast("bigint").alias("start_word"), (F.col("high") + k).cast("bigint").alias("end_word"), F.col("votes").cast("bigint").alias("votes"), "words", covered.alias("c"))
+    # A span too long for one occurrence is cut where the template begins anew.
+    cuts = F.when(F.col("high") + k - F.col("low") <= 2 * F.col("words"), F.expr("array(1)")).otherwise(F.expr("filter(sequence(1, size(m)), i -> i = 1 or m[i - 1].tpos <= m[i - 2].tpos)"))
+    pieces = spans.withColumn("cuts", cuts).select("doc_id", "license", "words", F.explode(F.expr("transform(cuts, (c, n) -> slice(m, c, coalesce(get(cuts, n + 1), size(m) + 1) - c))")).alias("m"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("m", lambda x: F.sequence(x["tpos"], x["tpos"] + (k - 1))))))
+    out = pieces.select("doc_id", "license", F.col("m")[0]["pos"].cast("bigint").alias("start_word"), (F.element_at("m", -1)["pos"] + k).cast("bigint").alias("end_word"), F.size("m").cast("bigint").alias("votes"), "words", covered.alias("c"))
     # The matches must fill the span they claim: no more foreign words than the template has words.
     verified = (F.col("c") >= coverage * F.col("words")) & (F.col("end_word") - F.col("start_word") <= 2 * F.col("words"))
     return out.where(verified).select("doc_id", "license", "start_word", "end_word", "votes", F.round(F.col("c") / F.col("words"), 4).alias("covered"))
@@ -96,7 +102,11 @@ h AS (SELECT DISTINCT doc_id, pos, {" || ' ' || ".join(f"a[pos + {i + 1}]" for i
 d AS (SELECT doc_id, license, words, pos - tpos AS diagonal, list(DISTINCT tpos) AS tp, min(pos) AS low, max(pos) AS high FROM h JOIN t USING (gram) GROUP BY ALL),
 e AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, license ORDER BY diagonal) <= {shift} THEN 0 ELSE 1 END AS gap FROM d),
 f AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, license ORDER BY diagonal) AS span FROM e),
-s AS (SELECT doc_id, license, words, span, list_distinct(flatten(list(tp))) AS tp, sum(len(tp)) AS votes, min(low) AS low, max(high) AS high FROM f GROUP BY ALL),
+x AS (SELECT doc_id, license, words, span, diagonal, unnest(tp) AS tpos FROM f),
+y AS (SELECT *, diagonal + tpos AS pos, max(diagonal + tpos) OVER r + {k} - min(diagonal + tpos) OVER r > 2 * words AS long FROM x WINDOW r AS (PARTITION BY doc_id, license, span)),
+z AS (SELECT *, long AND tpos <= lag(tpos) OVER (PARTITION BY doc_id, license, span ORDER BY pos, tpos) AS anew FROM y),
+v AS (SELECT *, sum(CASE WHEN anew THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, license, span ORDER BY pos, tpos) AS part FROM z),
+s AS (SELECT doc_id, license, words, span, part, list(DISTINCT tpos) AS tp, count(*) AS votes, min(pos) AS low, max(pos) AS high FROM v GROUP BY ALL),
 c AS (SELECT *, len(list_distinct(flatten(list_transform(tp, lambda j: range(j, j + {k}))))) AS c FROM s)
 SELECT doc_id, license, low::bigint AS start_word, (high + {k})::bigint AS end_word, votes::bigint AS votes, round(c::double / words, 4) AS covered
 FROM c WHERE c >= {coverage}::double * words AND high + {k} - low <= 2 * words"""

@@ -47,6 +47,14 @@ def test_licenses_as_sql(spark, more):
     assert rows(licenses.license_spans(more[0])) == sql_rows("/root/testdata/sf0.01", licenses.oracle_sql())
 
 
+def test_every_occurrence_of_a_repeated_notice(spark):
+    notice, n = "free for any use", 4
+    df = spark.createDataFrame([(0, notice), (1, " ".join([notice] * 3)), (2, f"{notice} and {notice} or else {notice}")], "doc_id long, text string")
+    got = {(r.doc_id, r.start_word, r.end_word) for r in licenses.license_spans(df, {"free": notice}).collect()}
+    starts = {0: [0], 1: [0, n, 2 * n], 2: [0, n + 1, 2 * n + 3]}
+    assert got == {(i, a, a + n) for i, at in starts.items() for a in at}
+
+
 def test_license_found_through_edits(spark):
     notice = licenses.TEMPLATES["isc-grant"]
     w = notice.split()
