@@ -26,9 +26,12 @@ def make_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset and Spark runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='curatrix-')}"
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
