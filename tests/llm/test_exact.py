@@ -329,6 +329,32 @@ def test_near_dedup_as_brute_force(spark, docs):
     assert got[20_000] in (20_001, 20_002) and (20_001 in got) != (20_002 in got)
 
 
+def test_excerpts_among_frequent_and_misleading_shingles(spark):
+    """An excerpt is found though its rarest shingles point elsewhere, or its shingles are in hundreds of larger texts that don't hold it."""
+    rng = np.random.default_rng(17)
+
+    def words(name, n):
+        return [f"{name}{i}" for i in range(n)]
+
+    def pieces(text, n):
+        return [w for i in rng.permutation(len(text) // n) for w in text[i * n : (i + 1) * n]]
+
+    a, z, hot = words("a", 350), words("z", 70), words("h", 100)
+    rows_ = [(1, a[:340] + z), (2, a + words("y", 400)), (3, z + words("x", 600)), *((10 + i, pieces(a, 10) + words(f"f{i}x", 20)) for i in range(5))]
+    rows_ += [(100, hot), (101, hot + words("v", 100)), *((200 + i, pieces(hot, 5) + words(f"g{i}x", 150)) for i in range(300))]
+    got = {r.doc_id: r.group_id for r in near_dedup.near_duplicate_groups(spark.createDataFrame([(i, " ".join(w)) for i, w in rows_], "doc_id long, text string")).collect()}
+    assert got == {1: 2, 2: 2, 100: 101, 101: 101}
+
+
+def test_excerpts_in_several_passes(spark, monkeypatch):
+    """Each excerpt goes with its largest holder, whatever pass it is looked up in."""
+    monkeypatch.setattr(near_dedup, "KEYS", 150)
+    texts = [[f"t{i}x{j}" for j in range(60)] for i in range(6)]
+    rows_ = [(i, t) for i, t in enumerate(texts)] + [(10 + i, t + [f"u{i}x{j}" for j in range(100 - i)]) for i, t in enumerate(texts)] + [(20 + i, t + [f"v{i}x{j}" for j in range(300)]) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.group_id for r in near_dedup.near_duplicate_groups(spark.createDataFrame([(i, " ".join(w)) for i, w in rows_], "doc_id long, text string")).collect()}
+    assert got == {i + d: 20 + i for i in range(6) for d in (0, 20)}
+
+
 def test_hot_buckets_go_by_representatives(spark, monkeypatch):
     """A group of near copies that all share buckets is held together by a few links a document, not by all pairs."""
     rng = np.random.default_rng(3)
