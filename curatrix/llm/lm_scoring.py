@@ -284,10 +284,38 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def distinct_grams(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(partition << 32 | BITS of hash, sorted, distinct; where each given one is among them; how often it occurs)."""
-    flat = ((key >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (key & np.uint64((1 << BITS) - 1))
-    return np.unique(flat, return_inverse=True, return_counts=True)
+def _filed(key: np.ndarray, parts: int) -> np.ndarray:
+    """partition << 32 | BITS of hash."""
+    return ((key >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (key & np.uint64((1 << BITS) - 1))
+
+
+def distinct_grams(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(filed keys, sorted, distinct; where each given one is among them). Keys are sorted together with their places, as many at once as places fit beside a key in 64 bits."""
+    flat = _filed(key, parts)
+    asked, where = np.unique(flat), np.empty(len(flat), np.int64)
+    bits = np.uint64(64 - (32 + parts.bit_length()))
+    for a in range(0, len(flat), 1 << int(bits)):
+        part = flat[a : a + (1 << int(bits))]
+        line = np.sort(part << bits | np.arange(len(part), dtype=np.uint64))
+        at, value = (line & np.uint64((1 << int(bits)) - 1)).astype(np.int64), line >> bits
+        first = np.append(True, value[1:] != value[:-1])
+        where[a + at] = np.searchsorted(asked, value[first])[np.cumsum(first) - 1]
+    return asked, where
+
+
+def counted_grams(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(filed keys, sorted, distinct; how often each occurs). Sorting values is several times faster than sorting places."""
+    return np.unique(_filed(key, parts), return_counts=True)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each key the sum of the counts of all that are equal to it; keys of 32 bits are sorted together with their places."""
+    line = np.sort((keys.astype(np.uint64) << np.uint64(32)) | np.arange(len(keys), dtype=np.uint64))
+    at, key = (line & np.uint64(0xFFFFFFFF)).astype(np.int64), line >> np.uint64(32)
+    first = np.append(True, key[1:] != key[:-1])[: len(keys)]
+    out = np.empty(len(keys), np.uint32)
+    out[at] = np.add.reduceat(counts[at].astype(np.int64), np.flatnonzero(first))[np.cumsum(first) - 1] if len(keys) else 0
+    return out
 
 
 def _requests(run: int, asked: np.ndarray, count: np.ndarray) -> pd.DataFrame:
@@ -308,7 +336,7 @@ def _ask(parts: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         _, texts = _ordered(pdf)
         key, there = grams(*hashed_words(texts))
-        asked, _, count = distinct_grams(key[there], parts)
+        asked, count = counted_grams(key[there], parts)
         return _requests(int(pdf.run.iloc[0]), asked, count)
 
     return run
@@ -317,10 +345,9 @@ def _ask(parts: int):
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """To each run, for the keys it asked for in turn, their counts in all runs."""
     asked = [np.cumsum(_unpacked(k), dtype=np.uint32) for k in pdf["keys"]]
-    _, where = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(where, np.concatenate([_unpacked(c) for c in pdf["counts"]])).astype(np.uint32)
+    total = summed(np.concatenate(asked), np.concatenate([_unpacked(c) for c in pdf["counts"]]))
     ends = np.cumsum([0, *map(len, asked)])
-    return pd.DataFrame({"run": pdf.run, "part": pdf.part, "answer": [_packed(total[where[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]})
+    return pd.DataFrame({"run": pdf.run, "part": pdf.part, "answer": [_packed(total[a:b]) for a, b in zip(ends, ends[1:], strict=False)]})
 
 
 class Shares:
@@ -355,7 +382,7 @@ def _score(model, frequent: list[int], parts: int, shares: Shares, table: np.nda
         log_p = np.zeros(len(sizes))
         if len(word):
             key, there = grams(word, sizes)
-            _, where, _ = distinct_grams(key[there], parts)
+            _, where = distinct_grams(key[there], parts)
             counts = np.zeros(key.shape, np.int64)
             counts[there] = np.concatenate([_unpacked(a) for a in answers.sort_values("part").answer])[where]
             p = chain(place, np.exp(final.log_places(place, context)), spelled(texts, table), counts, there, shares)

@@ -492,6 +492,16 @@ def test_lm_places_are_a_distribution(spark, docs):
         assert n[place == i].sum() == shares.total[i] and max(1, (n[place == i] == 1).sum()) == shares.once[i]
 
 
+def test_gram_counts_as_unique():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5_000):
+        key, low, count = rng.integers(0, 2**63, n, np.uint64) % np.uint64(700) * np.uint64(2**33 + 1), rng.integers(0, 900, n).astype(np.uint32) + np.uint32(2**30 - 900), rng.integers(1, 9, n).astype(np.uint32)
+        asked, where = lm_scoring.distinct_grams(key, 7)
+        again, times = lm_scoring.counted_grams(key, 7)
+        assert np.array_equal(asked, again) and np.array_equal(np.bincount(where, minlength=len(asked)), times)
+        assert lm_scoring.summed(low, count).tolist() == [int(count[low == x].sum()) for x in low]
+
+
 def test_lm_scores_as_brute_force(spark, monkeypatch):
     """Counts of all words, skip pairs, pairs and triples less the scored one, in plain Python, over the same softmax model."""
     monkeypatch.setattr(lm_scoring, "RUN", 3_000)
