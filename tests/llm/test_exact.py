@@ -421,6 +421,37 @@ def test_embedding_classes_as_brute_force(spark):
     assert all(n == links[i] for i, (c, n) in got.items() if i < 400)
 
 
+@pytest.mark.parametrize("hashed", [False, True])
+def test_embedding_links_are_complete(spark, monkeypatch, hashed):
+    """Every link of every vector, in the hot class as well; all compared with all, and by hashes in cut buckets."""
+    x = vectors_with_copies()
+    x[3_000:3_040] += 1e-3 * np.random.default_rng(3).standard_normal((40, 64))
+    monkeypatch.setattr(embedding_dedup, "PART", 250)
+    if hashed:
+        monkeypatch.setattr(embedding_dedup, "EXACT", 0)
+        monkeypatch.setattr(embedding_dedup, "CELL", 150)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want, links = brute_classes(x, 0.9)
+    got = {r.vec_id: (r.class_id, r.links) for r in embedding_dedup.near_duplicate_classes(df, neighbours=16, audit=0).collect()}
+    if hashed:
+        assert set(got) <= set(want) and sum(got.get(i, (None,))[0] == c for i, c in want.items()) >= 0.99 * len(want)
+        assert all(n == links[i] for i, (c, n) in got.items() if c == want[i])
+    else:
+        assert got == {i: (c, links[i]) for i, c in want.items()}
+
+
+def test_bucket_links_join_as_all_links_do():
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.standard_normal((40, 16)), [2_000, 900, *[8] * 38], 0)
+    x += rng.standard_normal(x.shape) * 0.16
+    x = rng.permutation(x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    for classes in (np.arange(len(x)), np.arange(len(x)) % 2):
+        u, w, s = embedding_dedup._best(np.arange(len(x)), classes, x, 0.9)
+        a, b = np.nonzero(np.triu((x @ x.T >= 0.9) & (classes[:, None] != classes), 1))
+        sure = s >= 0.9 + embedding_dedup._error(16)
+        assert len(u) < 2 * len(x) < len(a) and joined(zip(a.tolist(), b.tolist())) == joined(zip(u[sure | (s >= 0.9)].tolist(), w[sure | (s >= 0.9)].tolist()))
+
+
 def test_embedding_audit_measures_and_adds_nothing(spark, monkeypatch):
     x = vectors_with_copies()[:2_600]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
