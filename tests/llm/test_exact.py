@@ -4,6 +4,7 @@ import base64
 import itertools
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -533,6 +534,24 @@ def test_gram_counts_as_unique():
         assert lm_scoring.summed(low, count).tolist() == [int(count[low == x].sum()) for x in low]
 
 
+def test_grams_that_differ_beyond_30_bits_are_apart():
+    key = np.array([5, 5 + 2**30, 5 + 2**31, 5], np.uint64)
+    asked, where = lm_scoring.distinct_grams(key, 3)
+    assert len(asked) == 3 and where[0] == where[3] and len(set(where.tolist())) == 3
+    told = lm_scoring._answer(lm_scoring._requests(0, *lm_scoring.counted_grams(key, 3)))
+    assert sorted(lm_scoring._unpacked(told.answer[0])) == [1, 1, 2]
+
+
+def test_distinct_grams_cost_a_few_sorts():
+    key = np.random.default_rng(1).integers(0, 2**63, 1_000_000, np.uint64)
+    took = {f: [] for f in (lm_scoring.counted_grams, lm_scoring.distinct_grams)}
+    for f in [*took] * 3:
+        start = time.process_time()
+        f(key, 7)
+        took[f].append(time.process_time() - start)
+    assert min(took[lm_scoring.distinct_grams]) < 4 * min(took[lm_scoring.counted_grams])
+
+
 def test_lm_scores_as_brute_force(spark, monkeypatch):
     """Counts of all words, skip pairs, pairs and triples less the scored one, in plain Python, over the same softmax model."""
     monkeypatch.setattr(lm_scoring, "RUN", 3_000)
