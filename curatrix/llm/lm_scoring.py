@@ -36,12 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import code_points, hashed_words, id_text, mixed_bits, runs_of, text_runs
-from curatrix.session import dropped, stored
+from curatrix.session import dropped, shuffles_freed, stored
 
 CLASSES, WIDTH = 16, 32
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
 FEATURES = 3
 ROUNDS, RATE, STEP = 2, 0.3, 8_192
+#: Sums of weights between -SAFE and SAFE need no shift before exp in 32 bits.
+SAFE = 80.0
+#: Rows that are summed one after the other; longer lists of rows are summed in pieces of so many.
+SPAN = 16
 #: Rows of a weight table in a block of the exchange.
 BLOCK = 1_024
 PLACES = CLASSES * WIDTH
@@ -159,17 +163,39 @@ def row_max(z: np.ndarray) -> np.ndarray:
     return z[:, 0]
 
 
+def listed_sums(x: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Row i is the sum of the next count[i] (one at least) of the rows of x that at lists.
+
+    Ordered by size, the lists with a j-th member come first, so each step adds whole rows to a leading part.
+    Lists beyond SPAN are summed in pieces, then the pieces one by one.
+    """
+    pieces = -(-count // SPAN)
+    last = np.cumsum(pieces) - 1
+    sizes = np.full(pieces.sum(), SPAN)
+    sizes[last] = count - (pieces - 1) * SPAN
+    by = np.argsort((SPAN - sizes).astype(np.uint8), kind="stable")
+    start = (np.cumsum(sizes) - sizes)[by]
+    total = x.take(at[start], 0)
+    longer = len(sizes) - np.cumsum(np.bincount(sizes, minlength=SPAN + 1))
+    for j, m in enumerate(longer[1:SPAN].tolist(), 1):
+        total[:m] += x.take(at[start[:m] + j], 0)
+    place = np.empty_like(by)
+    place[by] = np.arange(len(by))
+    more = np.flatnonzero(pieces > 1)
+    if not len(more):
+        return total.take(place, 0)
+    out = total.take(place[last], 0)
+    out[more] = np.add.reduceat(total.take(place[np.repeat(pieces > 1, pieces)], 0), np.cumsum(pieces[more]) - pieces[more], 0)
+    return out
+
+
 def row_sums(rows: np.ndarray, g: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows used, how often, sum of g over the positions that use each); rows: (features, n), g: (n, width)."""
     flat = rows.ravel()
     n = np.bincount(flat, minlength=size)
     used = np.flatnonzero(n)
-    total = np.empty((g.shape[1], len(used)))
-    weights = np.empty(rows.shape)
-    for column, out in zip(g.T, total, strict=True):
-        weights[:] = column
-        np.take(np.bincount(flat, weights.ravel(), size), used, out=out, mode="clip")
-    return used, n[used].astype(np.float32), np.ascontiguousarray(total.T, dtype=np.float32)
+    order = np.argsort(flat.astype(np.min_scalar_type(size - 1)), kind="stable")  # numbers of 16 bits are sorted by digits
+    return used, n[used].astype(np.float32), listed_sums(g, order % max(1, len(g)), n[used])
 
 
 class Model:
@@ -192,13 +218,20 @@ class Model:
         return c, w
 
     @staticmethod
-    def softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def weights(table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weights of the outcomes at each position, their sums), which a softmax divides by."""
         z = table.take(rows[0], 0)
         for r in rows[1:]:
             z += table.take(r, 0)
-        z -= row_max(z)[:, None]
+        if not (-SAFE < z.min(initial=0) and z.max(initial=0) < SAFE):
+            z -= row_max(z)[:, None]
         np.exp(z, out=z)
-        z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+        return z, z @ np.ones(z.shape[1], np.float32)
+
+    @classmethod
+    def softmax(cls, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        z, total = cls.weights(table, rows)
+        z *= (1 / total)[:, None]
         return z
 
     def log_places(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -206,8 +239,10 @@ class Model:
         for a in range(0, len(target), STEP):
             t, x = target[a : a + STEP], context[:, a : a + STEP]
             i = np.arange(len(t))
-            pair = zip(self.tables, self.rows(t, x), (t // WIDTH, t % WIDTH), strict=True)
-            out[a : a + STEP] = sum(np.log(self.softmax(table, rows)[i, y].astype(float)) for table, rows, y in pair)
+            out[a : a + STEP] = 0
+            for table, rows, y in zip(self.tables, self.rows(t, x), (t // WIDTH, t % WIDTH), strict=True):
+                z, total = self.weights(table, rows)
+                out[a : a + STEP] += np.log(z[i, y] / total.astype(float))
         return out
 
 
@@ -229,9 +264,12 @@ class Trainer:
                 g[i, y] -= 1
                 used, n, total = row_sums(rows, g, len(table))
                 # Mean gradient of a row: its size doesn't grow with how often the row occurs in a step.
-                total /= n[:, None]
-                self.squares[f][used] += (total * total).mean(1)
-                table[used] -= RATE * total / np.sqrt(self.squares[f][used])[:, None]
+                total *= (1 / n)[:, None]
+                squares = self.squares[f][used] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+                self.squares[f][used] = squares
+                total *= (-RATE / np.sqrt(squares))[:, None]
+                total += table.take(used, 0)
+                table[used] = total
                 self.touched[f][used] += n
 
     def change(self) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -292,15 +330,22 @@ def _filed(key: np.ndarray, parts: int) -> np.ndarray:
 def distinct_grams(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(filed keys, sorted, distinct; where each given one is among them). Keys are sorted together with their places, as many at once as places fit beside a key in 64 bits."""
     flat = _filed(key, parts)
-    line, where = np.sort(flat), np.empty(len(flat), np.int64)
-    asked = line[np.append(True, line[1:] != line[:-1])[: len(line)]]  # np.unique of values alone goes through a hash table, several times slower
+    found, where = [], np.empty(len(flat), np.int64)
     bits = np.uint64(64 - (32 + parts.bit_length()))
-    for a in range(0, len(flat), 1 << int(bits)):
-        part = flat[a : a + (1 << int(bits))]
+    most = 1 << int(bits)
+    for a in range(0, max(1, len(flat)), most):
+        part = flat[a : a + most]
         line = np.sort(part << bits | np.arange(len(part), dtype=np.uint64))
-        at, value = (line & np.uint64((1 << int(bits)) - 1)).astype(np.int64), line >> bits
-        first = np.append(True, value[1:] != value[:-1])
-        where[a + at] = np.searchsorted(asked, value[first])[np.cumsum(first) - 1]
+        at, value = (line & np.uint64(most - 1)).astype(np.int64), line >> bits
+        first = np.append(True, value[1:] != value[:-1])[: len(value)]
+        found.append(value[first])
+        where[a + at] = np.cumsum(first) - 1
+    if len(found) == 1:
+        return found[0], where
+    line = np.sort(np.concatenate(found))
+    asked = line[np.append(True, line[1:] != line[:-1])]  # np.unique of values alone goes through a hash table, several times slower
+    for a, part in zip(range(0, len(flat), most), found, strict=True):
+        where[a : a + most] = np.searchsorted(asked, part)[where[a : a + most]]
     return asked, where
 
 
@@ -436,12 +481,13 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     and predict each other. Empty tables give no rows. Only doc_id and text are read.
     """
     texts = id_text(docs)
-    frequent, words, shares, table = counted(texts)
-    model = train(texts, frequent, rounds)
-    parts = max(1, -(-words // PART))
-    runs = texts.withColumn("run", F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(max(1, -(-words // RUN)))))
-    asked = runs.groupBy("run").applyInPandas(_ask(parts), _ASK)
-    answers = stored(asked.groupBy("part").applyInPandas(_answer, _TOLD), "answers")
+    with shuffles_freed(docs.sparkSession):
+        frequent, words, shares, table = counted(texts)
+        model = train(texts, frequent, rounds)
+        parts = max(1, -(-words // PART))
+        runs = texts.withColumn("run", F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(max(1, -(-words // RUN)))))
+        asked = runs.groupBy("run").applyInPandas(_ask(parts), _ASK)
+        answers = stored(asked.groupBy("part").applyInPandas(_answer, _TOLD), "answers")
     final = docs.sparkSession.sparkContext.broadcast(tuple(model.tables))
     score = _score(final, frequent, parts, shares, table)
     return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInPandas(score, "doc_id long, n_words long, log_p double, bits_per_word double")

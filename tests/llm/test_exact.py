@@ -651,3 +651,62 @@ def test_flat_trees_as_a_walk():
 
     assert np.allclose(trees.predict(x), [walk(v) for v in x])
     assert ((trees.predict(x) > 0.5) == y).mean() > 0.95
+
+
+def test_gradient_sums_of_long_lists_as_naive():
+    rng = np.random.default_rng(3)
+    for n, size in ((0, 8), (1, 300), (5_000, 70_000)):
+        r = np.vstack([np.zeros(n, np.int64), np.minimum(rng.zipf(1.3, (3, n)), size - 1)])  # lists of 1 to all n positions
+        g = rng.standard_normal((n, 32)).astype(np.float32)
+        used, times, total = lm_scoring.row_sums(r, g, size)
+        assert np.array_equal(used, np.unique(r)) and np.array_equal(times, np.bincount(r.ravel(), minlength=size)[used])
+        want = np.array([np.bincount(r.ravel(), np.tile(c, 4), size)[used] for c in g.T]).T.reshape(total.shape)
+        assert np.allclose(total, want, atol=1e-3)
+
+
+def test_gradient_sums_cost_less_than_a_pass_for_each_column():
+    rng = np.random.default_rng(5)
+    r, g = np.minimum(rng.zipf(1.3, (4, 8_192)), 16_383), rng.standard_normal((8_192, 32)).astype(np.float32)
+    r[1:] = (r[1:] * 40_503 + rng.integers(0, 9_000, (3, 8_192))) % 16_384
+    took = {}
+    for name, f in [("rows", lambda: lm_scoring.row_sums(r, g, 16_384)), ("columns", lambda: [np.bincount(r.ravel(), np.tile(c, 4), 16_384) for c in g.T])] * 15:
+        start = time.perf_counter()
+        f()
+        took[name] = min(took.get(name, 9.0), time.perf_counter() - start)
+    assert took["rows"] < 0.75 * took["columns"]
+
+
+def test_large_weights_keep_a_distribution():
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 64, (4, 500))
+    for scale in (1, 30, 1e4):
+        table = (scale * rng.standard_normal((64, 16))).astype(np.float32)
+        z = table.astype(float)[rows].sum(0)
+        want = np.exp(z - z.max(1, keepdims=True))
+        assert np.allclose(lm_scoring.Model.softmax(table, rows), want / want.sum(1, keepdims=True), atol=1e-3 if scale < 1e3 else 0.02)
+
+
+def test_grams_of_more_chunks_as_unique():
+    key = np.random.default_rng(8).integers(0, 2**63, 3_000, np.uint64)[np.random.default_rng(9).integers(0, 3_000, 9_000)]
+    parts = 1 << 20  # 11 bits are left for places, so the keys are sorted in five chunks
+    asked, where = lm_scoring.distinct_grams(key, parts)
+    again, times = lm_scoring.counted_grams(key, parts)
+    assert np.array_equal(asked, again) and np.array_equal(np.bincount(where), times)
+    assert np.array_equal(asked[where], lm_scoring._filed(key, parts))
+
+
+def test_lm_scores_leave_no_shuffle_files_of_finished_steps(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk, setting = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.conf.get(key)
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    scores = lm_scoring.lm_scores(spark.createDataFrame([(i, f"some words {i % 3} of text {i}") for i in range(50)], "doc_id long, text string").repartition(3))
+    end = time.time() + 10
+    while (left := shuffles() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(key) == setting
+    assert scores.count() == 50
