@@ -13,7 +13,7 @@ On the base stand the counts of all words, skip pairs, pairs and triples of the
 smoothed by the one before: (count + SMOOTH * lower) / (count of the context + SMOOTH). Every count leaves
 out the occurrence that is being scored, so a text is predicted from all others; what occurs in one text
 alone is unseen, and copies predict each other. The counts are partitioned by hash. Each run of documents
-asks the partitions for its own distinct n-grams (32 bits each within a partition, sent as compressed
+asks the partitions for its own distinct n-grams (32 bits each within a partition, sent as packed
 differences) and gets their counts back; no table of counts is ever in one place.
 
 Training passes over all documents once, in ROUNDS shares by hash of doc_id. In a round every task
@@ -314,12 +314,20 @@ def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """The bytes of 32-bit numbers, first all lowest ones and so on, compressed: most numbers are small."""
-    return zlib.compress(np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    """The bytes of 32-bit numbers by rank: how many of the lowest ranks are left as they are, the others compressed, then those.
+
+    Ranks below the size of the mean are as good as random: compressing them costs time and saves nothing.
+    """
+    ranks = np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    mean = x.mean(dtype=float) if len(x) else 0.0
+    plain = sum(mean >= 256.0**k for k in (1, 2, 3))
+    return bytes([plain]) + zlib.compress(ranks[plain:].tobytes(), 1) + ranks[:plain].tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    unzip = zlib.decompressobj()
+    high = unzip.decompress(data[1:])
+    return np.ascontiguousarray(np.frombuffer(unzip.unused_data + high, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
 def _filed(key: np.ndarray, parts: int) -> np.ndarray:
