@@ -356,6 +356,20 @@ def test_excerpts_in_several_passes(spark, monkeypatch):
     assert got == {i + d: 20 + i for i in range(6) for d in (0, 20)}
 
 
+def test_excerpts_are_looked_up_in_one_pass(spark, monkeypatch):
+    """The documents are hashed again once for all excerpts, however many ranges their shingles fill, with the same groups."""
+    texts = [[f"t{i}x{j}" for j in range(60)] for i in range(6)]
+    rows_ = [(i, t) for i, t in enumerate(texts)] + [(20 + i, t + [f"v{i}x{j}" for j in range(300)]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows_], "doc_id long, text string")
+    passes, holders = [], near_dedup._holders
+    monkeypatch.setattr(near_dedup, "_holders", lambda ranges, *rest: passes.append(len(ranges)) or holders(ranges, *rest))
+    got = []
+    for keys in (10_000, 50):
+        monkeypatch.setattr(near_dedup, "KEYS", keys)
+        got.append(rows(near_dedup.near_duplicate_groups(df)))
+    assert passes == [1, 7] and got[0] == got[1] and len(got[0]) == 12
+
+
 def test_hot_buckets_go_by_representatives(spark, monkeypatch):
     """A group of near copies that all share buckets is held together by a few links a document, not by all pairs."""
     rng = np.random.default_rng(3)
