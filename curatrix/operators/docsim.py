@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.functions.vectors import bound, dot, scaled, unit
+from curatrix.functions.vectors import bound, scaled, unit
 from curatrix.operators.similarity import similar_pairs
 
 
@@ -38,13 +38,10 @@ def similar_documents(docs: DataFrame, weights: dict[str, float], threshold: flo
     with a single field. Documents with a missing field vector are left out.
     """
     units = docs.select("id", combined(weights).alias("vec"), *[unit(F.col(f"vec_{f}")).alias(f"u_{f}") for f in weights])
-    pairs = similar_pairs(units.select("id", "vec"), threshold)
-    if len(weights) > 1:
-        fields = list(weights)
-        side = lambda s: units.select(F.col("id").alias(s), *[F.col(f"u_{f}").alias(f"{s}_{f}") for f in fields])
-        scores = F.create_map(*[x for f in fields for x in (F.lit(f), F.round(dot(F.col(f"a_{f}"), F.col(f"b_{f}")), 4))])
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "score", scores.alias("field_scores"))
-    else:
-        pairs = pairs.withColumn("field_scores", F.expr("cast(map() as map<string, double>)"))
+    fields = [f"u_{f}" for f in weights] if len(weights) > 1 else []
+    # The fields' vectors travel with their rows, not with the pairs.
+    pairs = similar_pairs(units, threshold, carry=tuple(fields))
+    scores = F.create_map(*[x for f in weights for x in (F.lit(f), F.round(f"u_{f}", 4))]) if fields else F.expr("cast(map() as map<string, double>)")
+    pairs = pairs.select("a", "b", "score", scores.alias("field_scores"))
     out = pairs.withColumn("score", F.round("score", 4))
     return out if most is None else out.orderBy(F.desc("score"), "a", "b").limit(most)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.operators import clusters, docsim, embedding, graphs, novelty, whitening
+from curatrix.operators import clusters, docsim, embedding, graphs, novelty, similarity, whitening
 from curatrix.operators.components import connected_components
 
 
@@ -23,6 +23,33 @@ def near_of(x, t):
     return {i: {j for j in range(len(x)) if j != i and s[i, j] >= t} for i in range(len(x)) if (s[i] >= t).sum() > 1}
 
 
+def test_rows_travel_a_fixed_number_of_times(spark):
+    """A table is cut into at most CUTS blocks while they stay small, so the grid's shuffle grows with the rows, not with their square."""
+    x = similarity._prepared(spark.range(60_000).select("id", F.array(F.rand(1).cast("float"), F.rand(2).cast("float")).alias("vec")), "id", None, False)
+    blocks, cuts = similarity._packed(x, similarity.BLOCK)
+    assert cuts.first().cuts == blocks.count() == similarity.CUTS
+    assert blocks.select(F.max(F.length(F.col("ms")[0]))).first()[0] < 1.1 * 60_000 / similarity.CUTS * 8  # as narrow as the column
+
+
+@pytest.mark.parametrize("block", [5, 2_048])
+def test_grid_as_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(similarity, "STRIPE", 40)
+    x, other = units(60, 3, 5), units(60, 4, 6)
+    s = np.round(x @ x.T, 9)
+    df = spark.createDataFrame([(i, v.tolist(), o.tolist(), None if i % 7 == 0 else i % 3, 1.0 + i % 4) for i, (v, o) in enumerate(zip(x, other, strict=True))], "id long, vec array<double>, more array<double>, g int, w double")
+    want = {(i, j): (round(float(other[i] @ other[j]), 9), i % 3 == j % 3 and i % 7 != 0 and j % 7 != 0) for i in range(60) for j in range(i + 1, 60) if s[i, j] >= 0.6}
+    found = similarity.similar_pairs(df, 0.6, group="g", groups="mark", carry=("more",), block=block).collect()
+    assert {(r.a, r.b): (round(r.more, 9), r.same) for r in found} == want and len(found) == len(want)
+    # Ties at the k-th place go by id, in every block.
+    tied = df.withColumn("vec", F.when(F.col("id") < 30, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))).otherwise(F.col("vec")))
+    y = np.where(np.arange(60)[:, None] < 30, [[1.0, 0.0, 0.0]], x)
+    best = similarity.nearest(tied.withColumnRenamed("id", "query_id"), tied, 4, others=True, block=block).collect()
+    got = {}
+    for r in sorted(best, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {i: sorted((j for j in range(60) if j != i), key=lambda j: (-round(float(y[i] @ y[j]), 6), j))[:4] for i in range(60)}  # noqa: B023
+
+
 @pytest.mark.parametrize("most", [3, 50])
 @pytest.mark.parametrize("kind", ["greedy", "complete"])
 def test_clusters_by_component_equal_one_pass(spark, kind, most):
