@@ -67,6 +67,16 @@ def novelty(queries: DataFrame, corpus: DataFrame, k: int | None = None, categor
     return out.select("query_id", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias("novelty"))
 
 
+def held(age: Column, decay: float) -> Column:
+    """What decay leaves of a similarity at that age, a missing one counting as 0."""
+    return F.exp(-decay * F.coalesce(age.cast("double"), F.lit(0.0)))
+
+
+def mean_of_best(best: DataFrame) -> DataFrame:
+    """(query_id, novelty) of best(query_id, score), the decayed similarities that count."""
+    return best.groupBy("query_id").agg((1 - F.avg("score")).alias("novelty"))
+
+
 def decayed_before_ranking(pairs: DataFrame, k: int, decay: float) -> DataFrame:
     """(query_id, novelty): similarities are decayed first, then the k best are averaged; pairs(query_id, score, age)."""
     held = pairs.withColumn("d", F.col("score") * F.exp(-decay * F.coalesce("age", F.lit(0.0))))

@@ -87,6 +87,22 @@ def test_cluster_statistics(spark):
     assert clusters.pair_agreement(some.where("false"), pairs).first().agreement == 1.0
 
 
+def test_marked_agreement_and_spanning_pairs(spark):
+    x = units(80, 3, 8)
+    df = spark.createDataFrame([(i, v.tolist(), None if i == 5 else i % 4) for i, v in enumerate(x)], "id long, vec array<double>, g int")
+    pairs = similarity.similar_pairs(df, 0.85)
+    same = clusters.together(df.select(F.col("g").alias("cluster_id"), F.col("id").alias("member_id")))
+    marked = similarity.similar_pairs(df, 0.85, group="g", groups="mark", block=16)
+    assert clusters.marked_agreement(marked).first().agreement == pytest.approx(clusters.pair_agreement(pairs, same).first().agreement)
+    assert clusters.marked_agreement(marked.where("false")).first().agreement == 1.0
+    # A forest of each cell, not all of its pairs, joins the same components.
+    forest = similarity.spanning_pairs(df, 0.6, block=16)
+    assert sorted(connected_components(forest).collect()) == sorted(connected_components(similarity.similar_pairs(df, 0.6)).collect())
+    assert similarity.spanning_pairs(df, 0.6).count() < 80 < similarity.similar_pairs(df, 0.6).count()
+    near = near_of(x, 0.6)
+    assert {r.id: r.degree for r in similarity.degrees(df, 0.6, block=16).collect()} == {i: len(n) for i, n in near.items()}
+
+
 def test_components_of_random_graphs(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 150, (110, 2))] + [(i, i + 1) for i in range(200, 260)]
