@@ -275,3 +275,16 @@ def test_retries():
     with pytest.raises(ValueError):
         generation.with_retries(lambda: (_ for _ in ()).throw(ValueError("bad key")), wait=0)
     assert generation.plain_schema({"type": ["null", "integer"], "items": [{"type": ["string", "null"]}]}) == {"type": "integer", "items": [{"type": "string"}]}
+
+
+def test_listed_rows_exclude_as_their_pairs_do(spark, small):
+    """A flag of each row gives what a list of all pairs gives; the query joins no pairs."""
+    df = spark.createDataFrame([(i, j, (i % 2 == 0, str(i)), (j % 2 == 0, str(j))) for i in range(6) for j in range(i + 1, 6)], "id_a long, id_b long, a struct<debt:boolean,code:string>, b struct<debt:boolean,code:string>")
+    listed = df.where("a.debt and b.debt").selectExpr("id_b as id_a", "id_a as id_b")
+    gates = [entities.initial_match("code")]
+    got = entities.vetoed(df, [entities.both_listed("debt"), *gates])
+    assert sorted(got.collect()) == sorted(entities.vetoed(df, gates, listed).collect()) and got.where("reason like 'excluded%'").count() == 3
+    from curatrix.plans import catalog
+
+    plan = catalog.queries()["exclusion_pairs"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
