@@ -36,6 +36,14 @@ def queries_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(v, "query_id", "left")
 
 
+def queries_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def documents_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+
+
 def documents_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source").join(v, "id", "left")
@@ -43,17 +51,17 @@ def documents_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     q, d = queries_with_vectors(spark, sf_dir), documents_with_vectors(spark, sf_dir)
-    return similarity.nearest(q.select("query_id", "vec"), d.select("id", "vec"), DEEP), search.bm25(q, d, DEEP, digits=6)
+    return similarity.nearest(q.select("query_id", "vec"), d.select("id", "vec"), DEEP), search.bm25(queries_alone(spark, sf_dir), documents_alone(spark, sf_dir), DEEP, digits=6)
 
 
 @R.add(f"WITH {_BM25} SELECT * FROM sparse WHERE rank <= {LIMIT}")
 def bm25_search(spark, sf_dir):
-    return search.bm25(queries_with_vectors(spark, sf_dir), documents_with_vectors(spark, sf_dir), LIMIT, digits=6)
+    return search.bm25(queries_alone(spark, sf_dir), documents_alone(spark, sf_dir), LIMIT, digits=6)
 
 
 @R.add(f"WITH {_BM25}, {_DENSE}, {_RRF} {_TOP}")
 def hybrid_search(spark, sf_dir):
-    return search.hybrid(queries_with_vectors(spark, sf_dir), documents_with_vectors(spark, sf_dir), LIMIT)
+    return search.hybrid(queries_with_vectors(spark, sf_dir), documents_with_vectors(spark, sf_dir), LIMIT, texts=documents_alone(spark, sf_dir))
 
 
 @R.add(f"WITH {_BM25}, {_DENSE}, v AS (SELECT unnest([10, 60, 100]) AS k), f AS (SELECT k, query_id, id, round(sum(1e0 / (k + rank)), 12) AS score FROM (SELECT * FROM dense WHERE rank <= {DEEP} UNION ALL SELECT * FROM sparse WHERE rank <= {DEEP}), v GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, query_id ORDER BY score DESC, id)::int AS rank FROM f) WHERE rank <= {LIMIT}")
@@ -73,14 +81,13 @@ def convex_fusion(spark, sf_dir):
 
 @R.add(f"WITH {_BM25}, k AS (SELECT query_id, id, score, source FROM sparse JOIN documents ON doc_id = id), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS n FROM k) WHERE n = 1) SELECT query_id, id, score, source, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::int AS rank FROM f")
 def dedup_best_per_source(spark, sf_dir):
-    d = documents_with_vectors(spark, sf_dir)
-    hits = search.bm25(queries_with_vectors(spark, sf_dir), d, None, digits=6).join(d.select("id", "source"), "id")
-    return search.first_per_key(hits, F.col("source")).select("query_id", "id", "score", "source", "rank")
+    hits = search.bm25(queries_alone(spark, sf_dir), documents_alone(spark, sf_dir), None, digits=6, by="source")
+    return hits.select("query_id", "id", "score", "source", "rank")
 
 
 @R.add()
 def bm25_stemmed(spark, sf_dir):
-    return search.bm25(queries_with_vectors(spark, sf_dir), documents_with_vectors(spark, sf_dir), LIMIT, stem=True, digits=6)
+    return search.bm25(queries_alone(spark, sf_dir), documents_alone(spark, sf_dir), LIMIT, stem=True, digits=6)
 
 
 @R.add("SELECT doc_id AS id, 1.0e0 AS score FROM documents WHERE text ILIKE '%licens%'")

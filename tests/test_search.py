@@ -102,6 +102,21 @@ def test_bm25_as_the_formula(spark):
     assert got.where("query_id in (2, 3)").count() == 0
 
 
+@pytest.mark.parametrize("stem", [False, True])
+def test_bm25_in_two_passes_as_by_joins(spark, monkeypatch, stem):
+    """Scores, ties and the best of each source are the same; no posting is shuffled."""
+    words = ["cat", "cats", "dog", "sat", "mat", "bird", "birds", "flying"]
+    docs = spark.createDataFrame([(i, " ".join(words[(i * 7 + j * j) % 8] for j in range(i % 6)) or None, None if i % 5 == 0 else f"s{i % 3}") for i in range(40)], "id long, text string, source string").repartition(5)
+    q = spark.createDataFrame([(1, "cat dog cat"), (2, "birds"), (3, "mat fly sat cats")], "query_id long, text string")
+    run = lambda limit, by: sorted((tuple(r) for r in search.bm25(q, docs, limit, stem, 6, by).select("query_id", "rank", "id", "score", *([by] if by else [])).collect()), key=repr)
+    cases = [(None, None), (3, None), (None, "source"), (2, "source")]
+    got = [run(*c) for c in cases]
+    plan = search.bm25(q, docs, 3, stem, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "explode" not in plan
+    monkeypatch.setattr(search, "ASKED", 1)
+    assert got == [run(*c) for c in cases] and all(got)
+
+
 def test_stemming_and_folding(spark):
     docs = spark.createDataFrame([(1, "Running in the café"), (2, "cars"), (3, "nothing"), (4, "else"), (5, "more")], "id long, text string")
     q = spark.createDataFrame([(1, "runs cafe"), (2, "car")], "query_id long, text string")
