@@ -64,6 +64,19 @@ def test_clusters_by_component_equal_one_pass(spark, kind, most):
         assert all((x[c] @ x[c].T >= 0.85 - 1e-12).all() for c in got.values())
 
 
+@pytest.mark.parametrize("kind", ["greedy", "complete"])
+def test_clusters_hold_no_pairs(spark, monkeypatch, kind):
+    """A component's task gets a row for each vector, of which all are neighbours, and takes several turns of seeds."""
+    monkeypatch.setattr(clusters, "similar_pairs", None)
+    x = units(700, 3, 4)
+    near = near_of(x, 0.5)
+    got = {}
+    run = clusters.greedy_clusters if kind == "greedy" else clusters.complete_linkage_clusters
+    for r in run(frame(spark, x), 0.5, 7).orderBy("cluster_id", "position").collect():
+        got.setdefault(r.cluster_id, []).append(r.member_id)
+    assert sorted(got.values()) == sorted(getattr(clusters, kind)(near, 7)) and len(got) > clusters.Near.SEEDS
+
+
 def test_giant_component_is_reported(spark):
     with pytest.raises(ValueError, match="a component of 5 rows"):
         clusters.greedy_clusters(frame(spark, np.ones((5, 2)) / math.sqrt(2)), 0.9, largest=4)
