@@ -165,6 +165,50 @@ def test_graph_operators(spark):
     assert tuple(graphs.found_by(g, v).first()) == (1, 1, 1, 2, 0.25)
 
 
+def test_graph_walks_over_many_pieces(spark, monkeypatch):
+    """Nodes' links lie in pieces of a few; walks, labels and betweenness over all of them are those of brute force, without a limit of links."""
+    monkeypatch.setattr(graphs.Adjacency, "PIECE", 7)
+    rng = np.random.default_rng(2)
+    near = {i: set() for i in range(50)}
+    for a, b in rng.integers(0, 45, (60, 2)).tolist():
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    rows = [(10 * a, 10 * b) for a in near for b in near[a]]
+    edges = spark.createDataFrame(rows + rows[:5], "a long, b long")
+    nodes = spark.createDataFrame([(10 * i,) for i in near], "id long")
+    assert len(graphs.Adjacency(edges).first) > 10 and graphs.Adjacency(edges).links() == len(rows)
+    every = {}
+    for s in near:
+        every[s] = {s: [s]}
+        front = [s]
+        while front:
+            more = {}
+            for v in sorted(front, key=lambda v: every[s][v]):  # noqa: B023
+                for w in sorted(near[v] - set(every[s])):
+                    more.setdefault(w, [*every[s][v], w])
+            every[s].update(more)
+            front = list(more)
+    got = {(r.seed // 10, r.node // 10): r.depth for r in graphs.neighbourhood(edges, nodes.withColumnRenamed("id", "seed"), 3).collect()}
+    assert got == {(s, v): len(p) - 1 for s in near for v, p in every[s].items() if len(p) <= 4}
+    pairs = spark.createDataFrame([(10 * a, 10 * b) for a in near for b in range(0, 50, 3)], "source long, target long")
+    want = {(a, b): every[a][b] for a in near for b in range(0, 50, 3) if b in every[a]}
+    assert {(r.source // 10, r.target // 10): [x // 10 for x in r.path] for r in graphs.shortest_paths(edges, pairs).collect()} == want
+    assert {(r.source // 10, r.target // 10): r.steps for r in graphs.path_lengths(edges, pairs, 4).collect()} == {k: len(p) - 1 for k, p in want.items() if len(p) <= 5}
+    vector = pairs.selectExpr("source as seed", "target as node").where("seed <> node")
+    graph = graphs.neighbourhood(edges, nodes.withColumnRenamed("id", "seed"), 2).where("depth > 0")
+    assert sorted(graphs.neighbourhood_against(edges, vector, 2).collect()) == sorted(graphs.found_by(graph, vector).collect())
+    now = {i: i for i in near}
+    for _ in range(20):
+        votes = {i: [now[b] for b in near[i]] for i in near}
+        now = {i: min(v, key=lambda x: (-v.count(x), x)) if v else now[i] for i, v in votes.items()}  # noqa: B023
+    assert {r.node // 10: r.label // 10 for r in graphs.label_propagation(edges, nodes).collect()} == now
+    # Of all shortest paths between two nodes, the share that goes through a third.
+    n = lambda a, b: 1 if a == b else sum(n(a, v) for v in near[b] if len(every[a][v]) == len(every[a][b]) - 1)
+    through = {v: sum(n(a, v) * n(v, b) / n(a, b) for a in near for b in every[a] if a != v != b and a != b and v in every[a] and len(every[a][v]) + len(every[v][b]) - 1 == len(every[a][b])) for v in near}
+    assert {r.node // 10: round(r.score, 6) for r in graphs.betweenness(edges, nodes).collect()} == pytest.approx(through, abs=1e-5)
+
+
 # Novelty
 
 
