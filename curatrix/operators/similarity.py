@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Rows of the smallest block worth a task of its own, blocks that a table is cut into, and most numbers in a block.
 BLOCK, CUTS, ELEMENTS = 2_048, 16, 1 << 21
 #: Numbers in a stripe of a product.
-STRIPE = 1 << 21
+STRIPE = 1 << 19
 _NONE = "\x00none"
 
 
@@ -115,10 +115,15 @@ def _wide(df: DataFrame) -> bool:
     return df.schema["vec"].dataType.elementType.typeName() != "float"
 
 
+def _where(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a matrix, in less than half its time."""
+    return np.divmod(np.flatnonzero(hit), hit.shape[1])
+
+
 def _hits(a: Block, b: Block, same: bool, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, product, rows within the stripe, columns) of pairs of different ids, each pair once."""
     for i, s in stripes(a.m, b.m):
-        r, c = np.nonzero(s >= threshold)
+        r, c = _where(s >= threshold)
         keep = (c > r + i) & (a.ids[r + i] != b.ids[c]) if same else a.ids[r + i] != b.ids[c]
         yield i, s, r[keep], c[keep]
 
@@ -206,7 +211,7 @@ def _best(s: np.ndarray, k: int, order: np.ndarray, digits: int) -> tuple[np.nda
     # The k-th best of some columns bounds that of all from below: few others are sorted.
     head = s[:, : max(4 * k, s.shape[1] // 16)]
     least = np.partition(head, -k, axis=1)[:, -k] if head.shape[1] > k else np.full(len(s), -np.inf)
-    r, c = np.nonzero((s >= (least - 2 * 10.0**-digits)[:, None]) & (s > -np.inf))
+    r, c = _where((s >= (least - 2 * 10.0**-digits)[:, None]) & (s > -np.inf))
     score = np.round(s[r, c], digits)
     line = np.lexsort((order[c], -score, r))
     r, c, score = r[line], c[line], score[line]
